@@ -204,6 +204,14 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, lan
     pairs = staged(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     texts = rows.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    comp = components(_verified(pairs, texts, words, similarity))
+    # first each class with its commonest partner; of the other pairs only those whose ends that has not yet connected
+    both = pairs.union(pairs.select("b", "a"))
+    common = both.join(classes.select(F.col("rep").alias("b"), "weight"), "b").groupBy("a").agg(F.min(F.struct(-F.col("weight"), "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
+    common = staged(common, "common")
+    links = staged(_verified(common, texts, words, similarity), "verified")
+    one = components(links)
+    named = pairs.join(common, ["a", "b"], "left_anti").join(one.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(one.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    rest = staged(named.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"), "rest")
+    comp = components(links.union(_verified(rest, texts, words, similarity)))
     label = classes.join(comp, classes.rep == comp.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(label, "fp", "left").select("doc_id", "component_id")
