@@ -97,7 +97,7 @@ def int8_decode(codes: Column, lo: Column, hi: Column) -> Column:
 
 def sign_bits(v: Column) -> Column:
     """The signs of 64 components as one long: bit i is set where component i is positive."""
-    bits = F.transform(v, lambda x, i: F.when(x > 0, F.shiftleft(F.lit(1).cast("long"), i.cast("int"))).otherwise(F.lit(0).cast("long")))
+    bits = F.transform(v, lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))).otherwise(F.lit(0).cast("long")))
     return F.aggregate(bits, F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(b))
 
 

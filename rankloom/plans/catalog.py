@@ -1 +1,397 @@
-"""Every registered query."""
+"""Every registered query: the operators over the driver's tables, each with the SQL that must give the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rankloom.functions import text as T
+from rankloom.operators import chunking, fusion, lexical, records, vector
+from rankloom.plans.registry import query
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+_PATH = "(source || '/' || lang || '/doc_' || doc_id || '.md')"
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    """documents as files: path and text beside the rest."""
+    return _t(spark, d, "documents").withColumn("path", F.expr(_PATH))
+
+
+# ---- text and chunks ----
+
+
+@query("""select doc_id, i as line_no, length(regexp_replace(l, '\\s', '', 'g'))::int as nws from (select doc_id, string_split(text, chr(10)) as ls from documents), unnest(ls) with ordinality as u(l, i) where trim(l) <> ''""")
+def chunk_lines(spark: SparkSession, d: str) -> DataFrame:
+    ls = _t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "l"))
+    return ls.where(F.trim("l") != "").select("doc_id", (F.col("i") + 1).cast("long").alias("line_no"), F.char_length(F.regexp_replace("l", r"\s", "")).alias("nws"))
+
+
+@query(f"""with l as (select {_PATH} as path, i, l, regexp_matches(l, '^ {{0,3}}(```|~~~)') as fence, regexp_matches(l, '^#{{1,6}}\\s+\\S') as head from (select *, string_split(text, chr(10)) as ls from documents), unnest(ls) with ordinality as u(l, i)),
+o as (select *, coalesce(sum(fence::int) over (partition by path order by i rows between unbounded preceding and 1 preceding), 0) % 2 = 1 as open from l),
+r as (select *, sum((head and not open and not fence)::int) over (partition by path order by i) as run from o)
+select path, min(i)::int as start_line, max(i)::int as end_line, count(*) as n_lines from r group by path, run having length(regexp_replace(string_agg(l, ''), '\\s', '', 'g')) > 0""")
+def md_sections(spark: SparkSession, d: str) -> DataFrame:
+    s = chunking.markdown_sections(_docs(spark, d).select("path", "text"))
+    return s.select("path", "start_line", "end_line", (F.col("end_line") - F.col("start_line") + 1).cast("long").alias("n_lines"))
+
+
+@query("""select p_partkey, array_to_string(regexp_extract_all(lower(replace(replace(regexp_replace(p_name || ' ' || p_brand, '([a-z])([A-Z])', '\\1 \\2', 'g'), '_', ' '), '-', ' ')), '[\\p{L}\\p{N}_]+'), ' ') as tokens from part""")
+def name_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "part").select("p_partkey", F.array_join(T.name_tokens(F.concat_ws(" ", "p_name", "p_brand")), " ").alias("tokens"))
+
+
+@query("""select item_id, case when len(t) > 0 then '"' || array_to_string(t, '" OR "') || '"' end as fts from (select item_id, list_filter(regexp_split_to_array(regexp_replace(text, '[?"*/\\\\(){}^~:+\\-\\x00-\\x1F]', ' ', 'g'), '\\s+'), lambda x: length(x) > 1) as t from benchmark)""")
+def fts_sanitize(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "benchmark").select("item_id", T.fts_query(F.col("text")).alias("fts"))
+
+
+@query("""select doc_id, case when length(s) > 160 then substr(s, 1, 157) || '...' else s end as snippet, case when length(text) > 200 then substr(text, 1, 200) || '...' else text end as preview from (select doc_id, text, coalesce(trim(regexp_replace(list_filter(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g')) <> '')[1], '\\s+', ' ', 'g')), '') as s from documents)""")
+def snippets(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select("doc_id", T.snippet(F.col("text")).alias("snippet"), T.preview(F.col("text")).alias("preview"))
+
+
+@query(f"""select {_PATH} || ':1-' || len(string_split(text, chr(10))) || ':document:d' || doc_id as chunk_id, sha256(text) as text_sha256 from documents""")
+def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
+    x = _docs(spark, d)
+    return x.select(T.chunk_id(F.col("path"), F.lit(1), F.size(F.split("text", "\n", -1)), F.lit("document"), F.concat(F.lit("d"), F.col("doc_id"))).alias("chunk_id"), F.sha2("text", 256).alias("text_sha256"))
+
+
+# ---- filters ----
+
+
+@query(f"""select doc_id from (select *, {_PATH} as path from documents) where path like 'src1%/en/%' or regexp_matches(path, '(?s)^(.*/)?doc_.5\\.md$')""")
+def glob_filter(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).where(T.matches_glob(F.col("path"), ["src1*/en/*", "doc_?5.md"])).select("doc_id")
+
+
+@query("select l_orderkey, l_linenumber from lineitem where l_linenumber + 2 >= 3 and l_linenumber <= 4 and (l_returnflag = 'R' or l_linestatus = 'F')")
+def line_overlap(spark: SparkSession, d: str) -> DataFrame:
+    x = _t(spark, d, "lineitem")
+    tags = F.array("l_returnflag", "l_linestatus")
+    return x.where(T.lines_overlap(F.col("l_linenumber"), F.col("l_linenumber") + 2, 3, 4) & (F.arrays_overlap(tags, F.array(F.lit("R"))) | (F.col("l_linestatus") == "F"))).select("l_orderkey", "l_linenumber")
+
+
+@query(f"""select doc_id, p = 'en/doc_7.md' or p like '%/en/doc_7.md' as same from (select doc_id, {_PATH} as p from documents)""")
+def same_file(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", T.same_file(F.lit("en/doc_7.md"), F.lit(""), F.col("path")).alias("same"))
+
+
+# ---- lexical ----
+
+_TOK = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')"
+_QUERIES = "(select item_id as query_id, text from benchmark)"
+_BM25 = f"""d as (select doc_id as id, {_TOK} as w from documents),
+s as (select count(*) as n_rows, avg(len(w)) as avg_d from d),
+f as (select id, term, count(*)::double as f, any_value(len(w)) as dl from d, unnest(w) u(term) group by id, term),
+n as (select term, count(*) as n from f group by term),
+q as (select query_id, unnest({_TOK}) as term from {_QUERIES} qq),
+qc as (select query_id, term, count(*) as c from q group by all),
+b as (select query_id, id, round(sum(c * (case when ln((n_rows - n + 0.5) / (n + 0.5)) > 0 then ln((n_rows - n + 0.5) / (n + 0.5)) else 1e-6 end) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avg_d))), 6) as score from qc join n using (term) join f using (term), s group by query_id, id),
+bm as (select *, row_number() over (partition by query_id order by score desc, id)::int as rank from b)"""
+
+
+def _lexical_queries(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def _bm25(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    s = lexical.bm25(rows, lexical.one_word_phrases(_lexical_queries(spark, d)), [1.0], ["text"])
+    return fusion.ranked(s.withColumn("score", F.round("score", 6)), ["query_id"], F.desc("score"), "id")
+
+
+@query(f"with {_BM25} select query_id, id, score, rank from bm where rank <= 10")
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    """All benchmark items as queries, the ten best documents each (a top-k report)."""
+    return _bm25(spark, d).where("rank <= 10").select("query_id", "id", "score", "rank")
+
+
+@query("""with d as (select doc_id as id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w, regexp_extract_all(lower(source), '[\\p{L}\\p{N}]+') as s from documents),
+o as (select id, len(w) + len(s) as dl, (select count(*) from unnest(generate_series(1, len(w) - 1)) t(i) where w[i] = 'of' and w[i + 1] = 'the') as f from d),
+st as (select count(*) as nr, avg(dl) as ad from o), m as (select count(*) as n from o where f > 0)
+select id, round((case when ln((nr - n + 0.5) / (n + 0.5)) > 0 then ln((nr - n + 0.5) / (n + 0.5)) else 1e-6 end) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / ad)), 6) as score from o, st, m where f > 0""")
+def bm25_phrase(spark: SparkSession, d: str) -> DataFrame:
+    """The phrase 'of the' over two columns, the second without weight."""
+    rows = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "source")
+    ask = spark.createDataFrame([(1, 0, ["of", "the"])], "query_id long, n int, words array<string>")
+    return lexical.bm25(rows, ask, [1.0, 0.0], ["text", "source"]).select("id", F.round("score", 6).alias("score"))
+
+
+@query("""with recursive syn(ord, key, syns) as (values (1, 'and', ['und', 'et']), (2, 'the', ['der', 'le'])), x(a, b) as (values (1, 1))
+select item_id, count(*) filter (where w in ('and', 'und', 'et')) > 0 as has_and, count(*) filter (where w in ('the', 'der', 'le')) > 0 as has_the from (select item_id, unnest(string_split(lower(text), ' ')) as w from benchmark) group by item_id""")
+def query_expand(spark: SparkSession, d: str) -> DataFrame:
+    """Which synonym entries the benchmark's items trigger, by containment in the ordered table."""
+    words = _t(spark, d, "benchmark").select("item_id", F.split(F.lower("text"), " ").alias("ws"))
+    have = lambda *k: F.arrays_overlap("ws", F.array(*[F.lit(x) for x in k]))
+    return words.select("item_id", have("and", "und", "et").alias("has_and"), have("the", "der", "le").alias("has_the"))
+
+
+# ---- vectors ----
+
+_UNIT = "list_transform(embedding, lambda x: x::double / sqrt(list_dot_product(embedding::double[], embedding::double[])))"
+_VEC = f"v as (select vec_id, label, {_UNIT} as e from embeddings), vs as (select a.vec_id as query_id, b.vec_id as id, a.label as ql, b.label as label, round(list_dot_product(a.e, b.e), 6) as score from v a join v b on a.vec_id % 100 = 0)"
+
+
+def _vq(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
+
+
+@query(f"with {_VEC} select query_id, id, score, rank from (select *, row_number() over (partition by query_id order by score desc, id)::int as rank from vs) where rank <= 10")
+def vector_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector whose id is divisible by 100 as a query against all vectors."""
+    return vector.top_k(_vq(spark, d), _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 10)
+
+
+@query(f"with {_VEC} select query_id, id, score, rank from (select *, row_number() over (partition by query_id order by score desc, id)::int as rank from vs where query_id <> id) where rank <= 5")
+def similar_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return vector.top_k(_vq(spark, d), _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 5, skip_self=True)
+
+
+@query(f"with {_VEC} select query_id, id, score, rank from (select *, row_number() over (partition by query_id order by score desc, id)::int as rank from vs where label = 3) where rank <= 5")
+def vector_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """The filter comes before the top k, so k rows come back where there are so many."""
+    return vector.top_k(_vq(spark, d), _t(spark, d, "embeddings").where("label = 3").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 5)
+
+
+@query(f"""with v as (select vec_id, {_UNIT} as e from embeddings), r as (select i, min(e[i]) as lo, max(e[i]) as hi from v, unnest(generate_series(1, 64)) t(i) group by i), c as (select vec_id, e[i] as x, lo, hi, case when hi > lo then round((e[i] - lo) / (hi - lo) * 255) else 0 end as code from v join r on true)
+select vec_id, sum(code)::bigint as code_sum, round(max(abs(x - (lo + code / 255.0 * (hi - lo)))), 6) as worst from c group by vec_id""")
+def int8_drift(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    r = vector.int8_ranges(rows).agg(F.array_sort(F.collect_list(F.struct("pos", "lo", "hi"))).alias("r"))  # one entry per dimension
+    x = rows.crossJoin(F.broadcast(r)).select("vec_id", vector.unit(F.col("v")).alias("u"), F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"))
+    x = x.withColumn("codes", vector.int8_codes(F.col("u"), F.col("lo"), F.col("hi"))).withColumn("back", vector.int8_decode(F.col("codes"), F.col("lo"), F.col("hi")))
+    return x.select("vec_id", F.aggregate("codes", F.lit(0).cast("long"), lambda s, c: s + c).alias("code_sum"), F.round(F.array_max(F.zip_with("u", "back", lambda a, b: F.abs(a - b))), 6).alias("worst"))
+
+
+@query("""with v as (select vec_id, list_transform(embedding, lambda x: (x > 0)::int) as s from embeddings), h as (select a.vec_id as query_id, b.vec_id as id, list_sum(list_transform(list_zip(a.s, b.s), lambda z: abs(z[1] - z[2])))::int as bits from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id)
+select query_id, id, bits from (select *, row_number() over (partition by query_id order by bits, id) as r from h) where r <= 20""")
+def binary_rescore(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest by sign bits: every vector whose id is divisible by 100 against all."""
+    b = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), vector.sign_bits(F.col("embedding")).alias("s"))
+    q = b.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("s").alias("qs"))
+    h = b.join(q, F.col("id") != F.col("query_id")).select("query_id", "id", vector.hamming(F.col("s"), F.col("qs")).alias("bits"))
+    return fusion.top(h, 20, ["query_id"], "bits", "id").select("query_id", "id", "bits")
+
+
+# ---- hybrid search ----
+
+_ARMS = f"""{_BM25}, {_VEC}, ve as (select query_id // 100 as query_id, id, score, row_number() over (partition by query_id order by score desc, id)::int as rank from vs),
+v50 as (select * from ve where rank <= 50), b50 as (select * from bm where rank <= 50 and query_id in (select query_id from ve)),
+p as (select query_id, id, 0.65 / (20 + rank) as s, 0 as arm, rank from v50 union all select query_id, id, 0.35 / (20 + rank), 1, rank from b50),
+f as (select query_id, id, round(sum(s), 9) as score, min(arm * 1000 + rank) as first from p group by query_id, id)"""
+
+
+def _vector_arm(spark: SparkSession, d: str) -> DataFrame:
+    return vector.top_k(_vq(spark, d).withColumn("query_id", F.expr("query_id div 100")), _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 50)
+
+
+def _fused(spark: SparkSession, d: str) -> DataFrame:
+    v = _vector_arm(spark, d)
+    asked = _vq(spark, d).select(F.expr("query_id div 100").alias("query_id"))
+    b = _bm25(spark, d).where("rank <= 50").join(asked, "query_id", "left_semi")
+    return fusion.rrf([(v, 0.65), (b, 0.35)]).withColumn("score", F.round("score", 9))
+
+
+@query(f"with {_ARMS.replace('f as (select query_id, id, round', 'g as (select query_id, id, round').replace('sum(s), 9)', 'sum(s), 9)')} select query_id, id, score, rank from (select *, row_number() over (partition by query_id order by score desc, first, id)::int as rank from g) where rank <= 10")
+def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
+    """Both arms' 50 best by reciprocal ranks (k 20, weights 0.65 and 0.35), ten a query."""
+    f = fusion.ranked(_fused(spark, d), ["query_id"], F.desc("score"), F.col("first_arm.arm"), F.col("first_arm.arm_rank"), "id")
+    return f.where("rank <= 10").select("query_id", "id", "score", "rank")
+
+
+@query(f"""with {_ARMS.replace('f as (select query_id, id, round', 'g as (select query_id, id, round')},
+c as (select g.query_id, g.id, {_PATH} as path, score, first, text from g join documents on doc_id = g.id),
+k as (select *, row_number() over (partition by query_id, path order by score desc, first, id) as nth from c),
+r as (select *, row_number() over (partition by query_id order by score desc, first, id)::int as rank from k where nth = 1)
+select query_id, id, path, score, rank, case when length(text) > 200 then substr(text, 1, 200) || '...' else text end as preview from r where rank <= 10""")
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    """The flagship: fused arms joined to their documents, one per file, ten a query, with previews."""
+    c = _docs(spark, d).select(F.col("doc_id").alias("id"), "path", "text").join(fusion.top(_fused(spark, d), 100, ["query_id"], F.desc("score"), "id"), "id")
+    order = [F.desc("score"), F.col("first_arm.arm"), F.col("first_arm.arm_rank"), F.col("id")]
+    r = fusion.ranked(fusion.best_per(c.drop("rank"), ["query_id", "path"], *order), ["query_id"], *order)
+    return r.where("rank <= 10").select("query_id", "id", "path", "score", "rank", T.preview(F.col("text")).alias("preview"))
+
+
+@query("""select p_partkey, round(case when lower(p_name) = 'lavender' then 1.4 else case when s >= 0.8 then 1.3 when s >= 0.5 then 1.2 when s >= 0.3 then 1.1 when s > 0 then 1.05 else 1.0 end end, 6)::double as boost from (select p_partkey, p_name, len(list_intersect(list_distinct(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}_]+')), ['part', '7'])) / 2.0 as s from part)""")
+def name_boosts(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "part").select("p_partkey", F.round(T.name_boost(F.col("p_name"), F.lit("lavender"), F.array(F.lit("part"), F.lit("7"))), 6).alias("boost"))
+
+
+@query("""with r as (select l_suppkey as path, l_orderkey * 10 + l_linenumber as id, l_returnflag as kind, l_discount as score from lineitem),
+g as (select path, round(0.6 * max(score) + 0.3 * log10(1 + count(*)) + 0.1 * least(1.0, count(distinct kind) / 4.0), 6) as score, count(*) as n_chunks from r group by path order by 2 desc, path::varchar limit 10)
+select g.path::varchar as path, g.score, g.n_chunks from g""")
+def localize_files(spark: SparkSession, d: str) -> DataFrame:
+    r = _t(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("path"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_returnflag").alias("kind"), F.col("l_discount").alias("score"))
+    return fusion.localize(r).select("path", "score", "n_chunks")
+
+
+@query("""with o as (select o_orderpriority as project, o_orderkey as id, o_totalprice as score, row_number() over (partition by o_orderpriority order by o_totalprice desc, o_orderkey)::int as project_rank from orders)
+select project, id, score, project_rank, row_number() over (order by project_rank, project)::int as global_rank from o where project_rank <= 3 order by project_rank, project limit 12""")
+def interleave_projects(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.interleave(_t(spark, d, "orders").select(F.col("o_orderpriority").alias("project"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("score")), 12, 3)
+
+
+@query("""select id, start_line, n.total, n.total > 20 as truncated from (select l_linenumber as id, l_linenumber as start_line from lineitem where l_orderkey = 1 order by 2, 1 limit 20), (select count(*) as total from lineitem where l_orderkey = 1) n""")
+def file_context(spark: SparkSession, d: str) -> DataFrame:
+    c = _t(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("id"), F.col("l_linenumber").alias("start_line"))
+    return fusion.file_context(c, F.col("l_orderkey") == 1).select("id", "start_line", "total", "truncated")
+
+
+# ---- statistics and integrity ----
+
+
+@query(f"""select folder, count(*) as n from (select unnest(list_slice(string_split({_PATH}, '/'), 1, 2)) as folder from documents) group by folder order by n desc, folder limit 10""")
+def index_stats_folders(spark: SparkSession, d: str) -> DataFrame:
+    return records.folder_counts(_docs(spark, d))
+
+
+@query("select source as folder, count(*) as n, count(distinct lang) as langs from documents group by source")
+def stats_from_truth(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).groupBy(F.split_part("path", F.lit("/"), F.lit(1)).alias("folder")).agg(F.count("*").alias("n"), F.countDistinct("lang").alias("langs"))
+
+
+@query("select vec_id from embeddings where vec_id not in (select doc_id from documents)")
+def integrity_orphans(spark: SparkSession, d: str) -> DataFrame:
+    return records.orphans(_t(spark, d, "embeddings"), _t(spark, d, "documents").select(F.col("doc_id").alias("vec_id")), "vec_id").select("vec_id")
+
+
+@query("select (select count(*) from embeddings where vec_id not in (select doc_id from documents)) as orphan_vectors, (select count(*) from documents where doc_id not in (select vec_id from embeddings)) as missing_vectors, (select count(*) from documents) as documents")
+def integrity_summary(spark: SparkSession, d: str) -> DataFrame:
+    j = _t(spark, d, "documents").select("doc_id", F.lit(1).alias("x")).join(_t(spark, d, "embeddings").select("vec_id", F.lit(1).alias("y")), F.col("doc_id") == F.col("vec_id"), "full")
+    return j.agg(F.count_if(F.col("x").isNull()).alias("orphan_vectors"), F.count_if(F.col("y").isNull()).alias("missing_vectors"), F.count("x").alias("documents"))
+
+
+@query("""with a as (select o_orderkey as path, o_orderstatus as hash from orders where o_orderdate < '1998-01-01'), b as (select o_orderkey as path, case when o_orderpriority = '1-URGENT' then 'X' else o_orderstatus end as hash from orders where o_orderdate >= '1993-01-01')
+select case when a.path is null then 'added' when b.path is null then 'removed' when a.hash <> b.hash then 'modified' else 'unchanged' end as change, count(*) as n from a full join b on a.path = b.path group by 1""")
+def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
+    o = _t(spark, d, "orders").withColumnRenamed("o_orderkey", "path").withColumnRenamed("o_orderstatus", "hash")
+    new = o.where("o_orderdate >= '1993-01-01'").withColumn("hash", F.when(F.col("o_orderpriority") == "1-URGENT", "X").otherwise(F.col("hash")))
+    return records.changes(o.where("o_orderdate < '1998-01-01'"), new).groupBy("change").agg(F.count("*").alias("n"))
+
+
+_HASHES = f"""f as (select {_PATH} as path, sha256(text) as hash from documents),
+l2 as (select split_part(path, '/', 1) || '/' || split_part(path, '/', 2) as path, sha256(split_part(path, '/', 2) || string_agg(hash, '' order by hash)) as hash from f group by 1, split_part(path, '/', 2)),
+l1 as (select split_part(path, '/', 1) as path, sha256(split_part(path, '/', 1) || string_agg(hash, '' order by hash)) as hash from l2 group by 1)"""
+
+
+@query(f"with {_HASHES} select path, hash from l2 union all select path, hash from l1 union all select '', sha256('' || string_agg(hash, '' order by hash)) from l1")
+def dir_hash(spark: SparkSession, d: str) -> DataFrame:
+    return records.directory_hashes(_docs(spark, d).select("path", F.sha2("text", 256).alias("hash")), 3)
+
+
+@query("select count(*) as total, count(distinct text) as live, round((count(*) - count(distinct text)) / count(distinct text), 6) as stale from documents")
+def stale_ratio(spark: SparkSession, d: str) -> DataFrame:
+    g = _t(spark, d, "documents").agg(F.count("*").alias("total"), F.countDistinct("text").alias("live"))
+    return g.select("total", "live", F.round(records.stale_ratio(F.col("total"), F.col("live")), 6).alias("stale"))
+
+
+@query("select count(distinct sha256(text)) as misses from documents where sha256(text) not in (select sha256(text) from documents where lang = 'en')")
+def doc_cache_misses(spark: SparkSession, d: str) -> DataFrame:
+    x = _t(spark, d, "documents").select("doc_id", "text", "lang")
+    cache = x.where("lang = 'en'").select(F.sha2("text", 256).alias("key"), F.lit("p").alias("provider"), F.lit("m").alias("model"), F.lit("document").alias("mode"))
+    return records.cache_misses(x, cache, "p", "m", "document").agg(F.count("*").alias("misses"))
+
+
+@query("select event_id from (select event_id, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events) where r <= 5")
+def history_retention(spark: SparkSession, d: str) -> DataFrame:
+    return records.retained(_t(spark, d, "events").withColumn("at", F.struct("ts", "event_id")), ["user_id"], F.desc("at"), 5).select("event_id")
+
+
+@query("select event_type, list_sort(list(value))[(count(*) // 2) + 1] as p50 from events group by event_type")
+def history_p50(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "events").groupBy("event_type").agg(records.upper_median(F.col("value")).alias("p50"))
+
+
+@query("select doc_id, sha256(source || chr(0) || lang || chr(0) || doc_id) as generation from documents")
+def generation_id(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select("doc_id", T.generation_id(F.col("source"), F.col("lang"), F.col("doc_id").cast("string")).alias("generation"))
+
+
+@query(f"""select path, (i)::int as line_no, 'ev:v1:' || sha256('{{"end_line":' || i || ',"index_generation":"g","path":"' || path || '","repository_id":"r","source_revision":"v","start_line":' || i || ',"text_sha256":"' || sha256(l) || '"}}') as evidence_id
+from (select {_PATH} as path, string_split(text, chr(10)) as ls from documents where doc_id % 10 = 0 and not regexp_matches(text, '[\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]')), unnest(ls) with ordinality as u(l, i) where trim(regexp_replace(l, '\\s', ' ', 'g')) <> ''""".replace("where doc_id % 10 = 0 and not", "where not"))
+def evidence_ids(spark: SparkSession, d: str) -> DataFrame:
+    x = _docs(spark, d).where(~F.col("text").rlike("[\r\u000b\u000c\u001c-\u001e\u0085  ]"))
+    c = x.select("path", F.lit(1).alias("start_line"), F.size(F.split("text", "\n", -1)).alias("end_line"), "text")
+    return records.evidence(records.source_lines(c), "r", "v", "g").select("path", "line_no", "evidence_id")
+
+
+# ---- evaluation, graph, reranking ----
+
+
+@query("""with g as (select o_custkey, list(o_orderkey order by o_orderkey) as expected from orders where o_orderstatus = 'F' group by 1), r as (select o_custkey, list(o_orderkey order by o_totalprice desc, o_orderkey) as ranked from orders group by 1),
+m as (select list_min(list_filter(list_transform(expected, lambda e: list_position(ranked, e)), lambda p: p > 0)) as p, list_contains(expected, ranked[1]) as h, len(list_intersect(expected, ranked[1:10])) / len(expected) as rc from g join r using (o_custkey))
+select count(*) as n, round(avg(coalesce(1.0 / p, 0)), 6) as mrr, round(avg(h::int), 6) as hr1, round(avg(rc), 6) as recall10 from m""")
+def mrr_summary(spark: SparkSession, d: str) -> DataFrame:
+    o = _t(spark, d, "orders")
+    gold = o.where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("expected"))
+    got = o.groupBy("o_custkey").agg(F.expr("transform(array_sort(collect_list(struct(-o_totalprice as s, o_orderkey))), x -> x.o_orderkey)").alias("ranked"))
+    return records.summary(gold.join(got, "o_custkey"))
+
+
+@query("""with t as (select conv_id, turn, length(text) > 120 as hit from conversations) select conv_id, coalesce(bool_or(hit) filter (where turn < 3), false) as by_3, coalesce(bool_or(hit) filter (where turn < 5), false) as by_5, min(turn) filter (where hit) as first_turn from t group by conv_id""")
+def multi_turn_recall(spark: SparkSession, d: str) -> DataFrame:
+    t = _t(spark, d, "conversations").select("conv_id", "turn", (F.length("text") > 120).alias("hit"))
+    by = lambda n: F.coalesce(F.bool_or(F.when(F.col("turn") < n, F.col("hit"))), F.lit(False))
+    return t.groupBy("conv_id").agg(by(3).alias("by_3"), by(5).alias("by_5"), F.min(F.when(F.col("hit"), F.col("turn"))).alias("first_turn"))
+
+
+@query("select count(*) as n, round(avg(b.v - a.v), 6) as mean from (select p_brand as k, avg(p_retailprice) as v from part where p_size < 25 group by 1) a join (select p_brand as k, avg(p_retailprice) as v from part where p_size >= 25 group by 1) b using (k)")
+def paired_delta(spark: SparkSession, d: str) -> DataFrame:
+    p = _t(spark, d, "part")
+    mean = lambda c: p.where(c).groupBy(F.col("p_brand").alias("k")).agg(F.avg("p_retailprice").alias("v"))
+    j = mean("p_size < 25").withColumnRenamed("v", "a").join(mean("p_size >= 25").withColumnRenamed("v", "b"), "k")
+    return j.agg(F.count("*").alias("n"), F.round(F.avg(F.col("b") - F.col("a")), 6).alias("mean"))
+
+
+@query()
+def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
+    """10,000 resamples of the paired differences between brands; draws are hashes, which SQL engines do not share."""
+    p = _t(spark, d, "part")
+    per = p.groupBy("p_brand").agg((F.avg(F.when(F.col("p_size") >= 25, F.col("p_retailprice"))) - F.avg(F.when(F.col("p_size") < 25, F.col("p_retailprice")))).alias("delta")).where("delta is not null")
+    return records.bootstrap(per)
+
+
+@query()
+def ppr_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Graph scores of one nation's suppliers as files, parts and orders as neighbours; tested against a plain version."""
+    li = _t(spark, d, "lineitem")
+    nodes = _t(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("path"), F.col("s_suppkey").alias("id"), "s_nationkey")
+    edges = li.select(F.col("l_suppkey").alias("source"), (F.col("l_partkey") + 1_000_000_000).alias("target"), F.lit("supplies").alias("type"))
+    seeds = nodes.where("s_nationkey = 3").select("path", (1.0 / (1 + F.col("id"))).alias("sim"))
+    return records.graph_scores(seeds, nodes.select("path", "id"), edges, most_nodes=1 << 40)
+
+
+@query("""with c as (select conv_id as query_id, turn as id, length(text)::double as score, turn % 11 as judged, row_number() over (partition by conv_id order by length(text) desc, turn) as before from conversations),
+w as (select *, count(*) over (partition by query_id) as n, max(judged) over (partition by query_id) as best from c),
+r as (select *, case when n <= 3 then 'few_candidates' when best < 6 then 'no_relevant' else 'applied' end as reason from w),
+o as (select query_id, id, score, row_number() over (partition by query_id order by case when reason <> 'applied' then before end, judged desc, before)::int as rank, reason from r) select * from o where rank <= 3""")
+def rerank_pointwise(spark: SparkSession, d: str) -> DataFrame:
+    c = _t(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("id"), F.length("text").cast("double").alias("score"))
+    return records.rerank("pointwise", c, 3, judge=F.col("id") % 11)
+
+
+@query("""select o_custkey as query_id, coalesce(max(t.threshold), 5.0)::double as threshold from orders left join (values ('1', 6.0), ('1-URGENT', 8.0), ('5', 7.0)) t(prefix, threshold) on starts_with(o_orderpriority, t.prefix) group by 1""")
+def rerank_threshold(spark: SparkSession, d: str) -> DataFrame:
+    over = spark.createDataFrame([("1", 6.0), ("1-URGENT", 8.0), ("5", 7.0)], "prefix string, threshold double")
+    return records.threshold_by_prefix(_t(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderpriority").alias("path")), over, 5.0)
+
+
+@query("""with recursive o as (select conv_id, row_number() over (partition by conv_id order by turn) as i, (length(text) + 3) // 4 as c from conversations),
+r as (select conv_id, i, c as held, 0 as batch from o where i = 1 union all select o.conv_id, o.i, case when r.held > 0 and r.held + o.c > 100 then o.c else r.held + o.c end, case when r.held > 0 and r.held + o.c > 100 then r.batch + 1 else r.batch end from r join o on o.conv_id = r.conv_id and o.i = r.i + 1)
+select conv_id, i as turn_no, batch::int as batch from r""")
+def token_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations' turns in batches of at most 100 tokens."""
+    c = _t(spark, d, "conversations").groupBy("conv_id").agg(F.expr("transform(array_sort(collect_list(struct(turn, length(text) as n))), x -> x.n)").alias("ns"))
+    return c.select("conv_id", F.posexplode(chunking.token_batches(F.col("ns"), 100)).alias("i", "batch")).select("conv_id", (F.col("i") + 1).cast("long").alias("turn_no"), "batch")
+
+
+@query("select event_type, time_bucket(interval 1 day, ts) as day, count(*) as n, round(sum(value), 4) as total from events group by all")
+def query_log_windows(spark: SparkSession, d: str) -> DataFrame:
+    """An extension: the query log in tumbling days, the batch twin of the streaming operator."""
+    e = _t(spark, d, "events")
+    return e.groupBy("event_type", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
