@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 K1, B = 1.2, 0.75
@@ -95,7 +96,7 @@ def folded(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", bare.lower())
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))  # a type object: a DDL string would need a session at import
 def porter_tokens(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The analyser of full-text tables: folded words, Porter-stemmed; stems are remembered within a task."""
     seen: dict[str, str] = {}
