@@ -184,7 +184,7 @@ def test_near_vectors_equal_brute_force(spark):
 def test_fuzzy_lines(spark, edges, empty):
     line = prose(1, 30)
     docs = [(1, f"{line}\n\nother words entirely here"), (2, line + " x"), (3, line.replace(line.split()[3], "changed")), (4, line), *[(10 + i, f"{line} {i}") for i in range(6)]]
-    got = {(r.doc_id, r.line_no): r for r in line_minhash.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), list_limit=3).collect()}
+    got = {(r.doc_id, r.line_no): r for r in line_minhash.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert len({got[(i, 0)].component_id for i, _ in docs}) == 1 and [k for k, r in got.items() if r.kept] == [k for k in got if k in ((1, 0), (1, 1), (1, 2))]
     assert got[(1, 1)].component_id is None and got[(4, 0)].n_copies == 2
     assert line_minhash.dedup_lines(edges).count() == sum(len(t.split("\n")) for _, t in EDGES if t is not None) and line_minhash.dedup_lines(empty).count() == 0
