@@ -190,6 +190,35 @@ def test_fuzzy_lines(spark, edges, empty):
     assert line_minhash.dedup_lines(edges).count() == sum(len(t.split("\n")) for _, t in EDGES if t is not None) and line_minhash.dedup_lines(empty).count() == 0
 
 
+def test_fuzzy_lines_equal_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {}
+    for r in line_minhash.dedup_lines(docs).where("line_id is not null").select("line_id", "component_id").distinct().collect():
+        got.setdefault(r.component_id, set()).add(r.line_id)
+    lines = sorted({line_minhash.normal(x) for r in docs.collect() if r.text is not None for x in r.text.split("\n")} - {""})
+    sets = [{x[i : i + 5] for i in range(max(1, len(x) - 4))} for x in lines]
+    at = {}
+    cells = [(i, at.setdefault(s, len(at))) for i, ss in enumerate(sets) for s in ss]
+    m = np.zeros((len(lines), len(at)), np.float32)
+    m[tuple(np.array(cells).T)] = 1
+    both, n = m @ m.T, m.sum(axis=1)
+    root = list(range(len(lines)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in np.argwhere(both / (n[:, None] + n - both) >= 0.8 - 1e-6):
+        root[find(a)] = find(b)
+    want = {}
+    for i, x in enumerate(lines):
+        h = xxhash.xxh64_intdigest(x.encode(), 42)
+        want.setdefault(find(i), set()).add(h - (1 << 64) if h >> 63 else h)
+    assert set(map(frozenset, got.values())) == set(map(frozenset, want.values())) and len(want) < len(lines)
+    assert all(k == min(v) for k, v in got.items())
+
+
 def test_repeated_passages(spark, edges, empty):
     passage = prose(1, 70).split()
     fuzzy = [*passage[:30], "NEW", *passage[31:50], *passage[52:]]
