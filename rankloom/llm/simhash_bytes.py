@@ -2,15 +2,18 @@
 
 Two fingerprints of B bytes that differ in d bits agree in at least B - d positional bytes. Posting lists are keyed by groups of
 positional bytes (single-byte lists would hold 1/256 of all rows each); the shared bytes of a pair are then tallied, pairs that
-reach the minimum are kept, and the rest is verified: by differing bits, or by exact similarity of the texts' shingle sets.
+reach the minimum are kept, and the rest is verified by differing bits. The pipeline's stage, exact similarity of the texts'
+shingle sets, takes its lists from minima over the sets instead: no choice of bytes is both selective and complete at 0.8.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -144,74 +147,155 @@ def near_groups(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame
 
 # ---- similarity of 0.8 or more on sets of five-word shingles: the pipeline's near-duplicate stage ----
 
+#: Minima of a band; share of pairs at the least similarity that the bands may miss.
+BAND, MISS = 4, 1e-5
+#: A long list's members are dealt in blocks of about so many.
+BLOCK = 512
+_ODD = np.random.default_rng(20).integers(0, 1 << 64, 4096, np.uint64) | np.uint64(1)
 
-def wide_subsets(lanes: int, lists: int, width: int = 3) -> list[tuple[int, ...]]:
-    """A fixed choice of so many groups of byte positions, each position used equally often."""
-    rng, out, pool = np.random.default_rng(20), [], []
-    while len(out) < lists:
-        if len(pool) < width:
-            pool = list(rng.permutation(8 * lanes))
-        out.append(tuple(sorted(int(pool.pop()) for _ in range(width))))
+
+def band_count(similarity: float) -> int:
+    """Bands of BAND minima of which a pair at this similarity shares one but for a share MISS of pairs."""
+    if not 0.5 <= similarity <= 1:
+        raise ValueError("similarity must be 0.5 to 1: below it the bands get too many")
+    return max(1, int(np.ceil(np.log(MISS) / np.log1p(-min(similarity, 0.999) ** BAND))))
+
+
+def least_equal(similarity: float, n: int) -> int:
+    """Equal minima of n that a pair at this similarity has at least, five deviations allowed."""
+    return int(n * similarity - 5 * np.sqrt(n * similarity * (1 - similarity)))
+
+
+def minima(h: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of the hashes under each of n multiplications; repeated hashes count once by nature."""
+    out = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), 1024):
+        np.minimum(out, (h[at : at + 1024, None] * _ODD[None, :n]).min(axis=0), out=out)
     return out
 
 
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """One long per band of BAND minima."""
+    x, k = least.reshape(-1, BAND), np.zeros(len(least) // BAND, np.uint64)
+    for i in range(BAND):
+        k = mixed(k * np.uint64(0x9E3779B97F4A7C15) + x[:, i])
+    return k.view(np.int64)
+
+
+def sets(docs: DataFrame, words: int, bands: int) -> DataFrame:
+    """(doc_id, text_hash, node, keys, sketch): node is a hash of the text's set of shingles, sketch a byte of each minimum.
+
+    Texts without a word have no keys.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part, nodes, keys, sketch = b.slice(at, 512), [], [], []
+                for t in part.column(2):
+                    h = np.unique(shingle_hashes(t.as_py(), words))
+                    m = minima(h, bands * BAND)
+                    nodes.append(int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).astype(np.int64)))
+                    keys.append(band_keys(m) if len(h) else [])
+                    sketch.append((m & np.uint64(255)).astype(np.uint8).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "text_hash", "node", "keys", "sketch"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, keys array<long>, sketch binary")
+
+
 def jaccard(a: str | None, b: str | None, words: int) -> float:
-    x, y = np.unique(shingle_hashes(a, words)), np.unique(shingle_hashes(b, words))
+    return _overlap(np.unique(shingle_hashes(a, words)), np.unique(shingle_hashes(b, words)))
+
+
+def _overlap(x: np.ndarray, y: np.ndarray) -> float:
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
+def _alike(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b) whose sketches agree in least places or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in b.columns[2:])
+                b = b.filter(pa.array((x == y).sum(axis=1) >= least))
+            yield b.select(["a", "b"])
+
+    side = lambda n: classes.select(F.col("node").alias(n), F.col("sketch").alias(f"s{n}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
     """Pairs (a, b) whose texts' shingle sets have a Jaccard similarity of least or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = functools.lru_cache(64)(lambda t: np.unique(shingle_hashes(t, words)))
         for b in batches:
-            ok = pa.array([jaccard(x.as_py(), y.as_py(), words) >= least for x, y in zip(b.column(2), b.column(3), strict=True)], pa.bool_())
+            ok = pa.array([_overlap(own(x.as_py()), own(y.as_py())) >= least for x, y in zip(b.column(2), b.column(3), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(ok)
 
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 4, lists: int = 64, list_limit: int = 48) -> DataFrame:
+def _within(lists: DataFrame, bands: int, least: int) -> DataFrame:
+    """(a, b) of unequal components in long lists (slot, key, n, node, component, sketch) whose sketches agree in least places.
+
+    Every two blocks of a list meet in one task, so only the pairs found become rows. A pair is given by the first band it shares.
+    """
+
+    def block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        slot, _, lo, hi = key
+        x, y = pdf[pdf["own"] == lo], pdf[pdf["own"] == hi]
+        out = []
+        if len(x) and len(y):
+            sy = np.frombuffer(b"".join(y["sketch"]), np.uint8).reshape(len(y), -1)
+            ny, cy = y["node"].to_numpy(), y["component"].to_numpy()
+            for node, c, s in zip(x["node"], x["component"], x["sketch"], strict=True):
+                same = sy == np.frombuffer(s, np.uint8)
+                ok = (same.sum(axis=1) >= least) & (cy != c) & (same.reshape(len(y), bands, BAND).all(axis=2).argmax(axis=1) == slot)
+                out += [(node, z) for z in ny[ok & (ny > node) if lo == hi else ok]]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = lists.withColumn("own", F.pmod(F.xxhash64(F.lit(5), "node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    found = dealt.select("slot", "key", "lo", "hi", "own", "node", "component", "sketch").groupBy("slot", "key", "lo", "hi").applyInPandas(block, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, list_limit: int = 48) -> DataFrame:
     """(doc_id, component_id) by links of texts whose sets of so many-word shingles have a Jaccard similarity of 0.8 or more.
 
-    Fingerprints of 64 * lanes bits; posting lists over groups of three byte positions; pairs that share three positional bytes
-    are tallied and kept where the differing bits fit the similarity, then verified on the texts. Bits differ in a share
-    arccos(2s / (1 + s)) / pi of places at similarity s, give or take; three deviations are allowed. In a list of more than
-    list_limit classes the class with most documents is compared with all; classes that it links are settled, and each of the
-    others is compared with the whole list. Equal fingerprints are one class. Null, empty and blank texts are equal to each other
-    and to nothing else. Recall is statistical (measured in the README); links between unequal fingerprints are exact.
+    Texts with equal sets are one class. Lists are keyed by bands of four minima over the distinct shingles, as many bands as
+    leave MISS of the pairs at the least similarity without a shared list; a byte of each minimum rules out pairs far below it.
+    Each class is first compared with the class of most documents in its lists, and only links verified on the texts settle
+    anything: then all pairs of a list that these links leave in different components are compared, lists of more than
+    list_limit classes in blocks. Null, empty and blank texts are equal to each other and to nothing else. Links are exact;
+    recall is statistical (in the README).
     """
-    bits = 64 * lanes
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    far = int(bits * share + 3 * np.sqrt(bits * share * (1 - share)))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    fps = staged(fingerprints(rows, words, lanes), "fingerprints")
-    classes = staged(classes_of(fps).where("rep is not null"), "classes")
-    pl = _postings(classes.where(F.exists("fp", lambda v: v != 0)), wide_subsets(lanes, lists))
-    fit = lambda: (_tally(F.col("fa"), F.col("fb"), lanes) >= 3) & (_differ(F.col("fa"), F.col("fb"), lanes) <= far)
-    side = lambda df, n: df.select("slot", "key", F.col("rep").alias(n), F.col("fp").alias(f"f{n}"))
-    short = pl.where(F.col("n") <= list_limit)
-    pairs = side(short, "a").join(side(short, "b"), ["slot", "key"]).where("a < b").where(fit()).select("a", "b")
-    long_ = pl.where(F.col("n") > list_limit)
-    if long_.limit(1).count():
-        hub = long_.groupBy("slot", "key").agg(F.min(F.struct(-F.col("weight"), "rep", "fp")).alias("h")).select("slot", "key", F.col("h.rep").alias("a"), F.col("h.fp").alias("fa"))
-        against = staged(side(long_, "b").join(hub, ["slot", "key"]).where("a <> b").withColumn("ok", fit()), "hubs")
-        rest = against.where("not ok").select("slot", "key", F.col("b").alias("a"), F.col("fb").alias("fa"))
-        others = rest.join(side(long_, "b"), ["slot", "key"]).where("a <> b").where(fit()).select("a", "b")
-        pairs = pairs.union(against.where("ok").select("a", "b")).union(others)
-    pairs = staged(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = rows.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    # first each class with its commonest partner; of the other pairs only those whose ends that has not yet connected
-    both = pairs.union(pairs.select("b", "a"))
-    common = both.join(classes.select(F.col("rep").alias("b"), "weight"), "b").groupBy("a").agg(F.min(F.struct(-F.col("weight"), "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
-    common = staged(common, "common")
-    links = staged(_verified(common, texts, words, similarity), "verified")
-    one = components(links)
-    named = pairs.join(common, ["a", "b"], "left_anti").join(one.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(one.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    rest = staged(named.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"), "rest")
+    bands = band_count(similarity)
+    least = least_equal(similarity, bands * BAND)
+    fps = staged(sets(docs, words, bands), "sets")
+    classes = staged(fps.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.min("text_hash").alias("text_hash"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "classes")
+    lists = posting_lists(classes.select("node", "weight", F.posexplode("keys").alias("slot", "key")), ["slot", "key"])
+    ids = lists.select("node").distinct().join(classes.select("node", "text_hash"), "node")
+    texts = docs.select(F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text")).join(ids, "text_hash").dropDuplicates(["node"]).select("node", "text")
+    hub = lists.groupBy("slot", "key").agg(F.min(F.struct(-F.col("weight"), "node")).alias("h")).select("slot", "key", F.col("h.node").alias("h"))
+    first = lists.join(hub, ["slot", "key"]).where("node <> h").select(F.least("node", "h").alias("a"), F.greatest("node", "h").alias("b")).distinct()
+    links = staged(_verified(staged(_alike(first, classes, least), "first"), texts, words, similarity), "verified")
+    named = lists.join(components(links), "node", "left").select("slot", "key", "n", "node", F.coalesce("component", "node").alias("component"))
+    open_ = named.groupBy("slot", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("slot", "key")
+    open_ = staged(named.where("n > 2").join(open_, ["slot", "key"], "left_semi"), "open")
+    short, long_ = open_.where(F.col("n") <= list_limit), open_.where(F.col("n") > list_limit)
+    side = lambda n: short.select("slot", "key", F.col("node").alias(n), F.col("component").alias(f"c{n}"))
+    pairs = _alike(side("a").join(side("b"), ["slot", "key"]).where("a < b and ca <> cb").select("a", "b").distinct(), classes, least)
+    pairs = pairs.union(_within(long_.join(classes.select("node", "sketch"), "node"), bands, least)).distinct()
+    rest = staged(pairs.join(first, ["a", "b"], "left_anti"), "rest")
     comp = components(links.union(_verified(rest, texts, words, similarity)))
-    label = classes.join(comp, classes.rep == comp.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(label, "fp", "left").select("doc_id", "component_id")
+    label = classes.join(comp, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
+    label = staged(label, "labels")
+    label = label.join(label.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("node", "component_id")
+    return fps.select("doc_id", "node").join(label, "node").select("doc_id", "component_id")

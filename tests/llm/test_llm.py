@@ -120,6 +120,24 @@ def test_similar_groups_find_edited_copies(spark):
     assert {got[i] for i in range(1, 8)} == {1} and got[0] == 0 and got[20] == 20 and got[22] == 21
 
 
+def set_pairs(seed, n, shared, own):
+    """Texts of numbered words, two by two with so many shared and own shingles of five words each: Jaccard shared / (shared + 2 own)."""
+    out = []
+    for i in range(n):
+        words = [f"w{seed}x{i}x{k}" for k in range(shared + 4)]
+        out += [(2 * i + j, " ".join(words + [f"o{seed}x{i}x{j}x{k}" for k in range(own)])) for j in range(2)]
+    return out
+
+
+def test_similar_groups_recall_at_the_limit(spark):
+    rows = set_pairs(1, 300, 80, 10)
+    assert simhash_bytes.jaccard(rows[0][1], rows[1][1], 5) == 0.8
+    below = [(1000 + i, t) for i, t in set_pairs(2, 100, 79, 11)]
+    got = dict(simhash_bytes.similar_groups(spark.createDataFrame(rows + below, "doc_id long, text string")).collect())
+    assert sum(got[2 * i + 1] == 2 * i for i in range(300)) == 300
+    assert all(got[i] == i for i, _ in below)
+
+
 def test_decontamination_equals_sql(spark, edges, empty):
     want = duckdb.sql(queries.ORACLE_SQL["op10_decontaminate"].replace("from documents", f"from '{SF}/documents.parquet'").replace("from benchmark", f"from '{SF}/benchmark.parquet'")).df()
     got = queries.op10_decontaminate(spark, SF).toPandas()
