@@ -148,6 +148,16 @@ def test_similar_groups_in_long_lists(spark, monkeypatch):
         assert dict(simhash_bytes.similar_groups(df, list_limit=limit).collect()) == {i: i - i % 2 for i in range(80)}
 
 
+def test_similar_groups_compare_sets(spark):
+    line = " ".join(f"l{k}" for k in range(9))
+    words = " ".join(f"a{k}" for k in range(100))
+    docs = [(i, f"{line} " * 60 + " ".join(f"z{i}x{k}" for k in range(40))) for i in range(2)] + [(10, f"{words} " + f"{line} " * 40), (11, f"{words} " + f"{line} " * 2)]
+    assert simhash_bytes.jaccard(docs[0][1], docs[1][1], 5) < 0.2 and simhash_bytes.jaccard(docs[2][1], docs[3][1], 5) == 1
+    docs += [(20, "x y z " * 30), (20, " ".join(f"q{k}" for k in range(60))), (21, " ".join(f"q{k}" for k in range(61)))]  # an id with two texts
+    got = sorted(map(tuple, simhash_bytes.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()))
+    assert got == [(0, 0), (1, 1), (10, 10), (11, 10), (20, 20), (20, 20), (21, 20)]
+
+
 def test_decontamination_equals_sql(spark, edges, empty):
     want = duckdb.sql(queries.ORACLE_SQL["op10_decontaminate"].replace("from documents", f"from '{SF}/documents.parquet'").replace("from benchmark", f"from '{SF}/benchmark.parquet'")).df()
     got = queries.op10_decontaminate(spark, SF).toPandas()
