@@ -308,5 +308,21 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.near_duplicates(spark, dup, SF).count() == corpus_pipeline.near_duplicates(spark, docs, SF).count()
 
 
+def test_pipeline_tells_rows_without_id_apart(spark):
+    import corpus_pipeline
+
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 200").first().text
+    texts = [prose(300 + i, 50 + i) for i in range(6)]
+    docs = spark.createDataFrame([(None, t, "en", "s") for t in [*texts, texts[0], item]] + [(1, prose(1, 60), "en", "s"), (1, item, "en", "s")], "doc_id long, text string, lang string, source string")
+    seen = lambda df: sorted(r.text for r in df.collect())
+    near = seen(corpus_pipeline.near_duplicates(spark, docs.where("doc_id is null"), SF))
+    assert near == sorted([*texts, item])
+    assert seen(corpus_pipeline.decontamination(spark, docs, SF)) == sorted([*texts, texts[0], prose(1, 60)])
+    clean = docs.where("doc_id is null").limit(6)
+    taken = {r.doc_id: r.times for r in budget_mix.mix(clean.withColumn("doc_id", F.xxhash64("text"))).collect()}
+    got = seen(corpus_pipeline.mixture(spark, clean, SF))
+    assert len(got) == sum(taken.values()) and set(got) == set(texts) and max(map(got.count, got)) <= 2
+
+
 def test_sha1_and_base32():
     assert warc_salvage.base32_sha1(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ" and hashlib.sha1(b"").hexdigest().startswith("da39")
