@@ -105,6 +105,25 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def binary_top_k(queries: DataFrame, rows: DataFrame, k: int, factor: int = 20, digits: int = 6, skip_self: bool = False) -> DataFrame:
+    """(query_id, id, bits, score, rank): the factor * k rows (id, v) nearest by sign bits to each query (query_id, v), rescored.
+
+    The survivors are ranked by the inner product of unit vectors, and the best k stay. Scores are rounded first; ties in bits and
+    in score go to the smaller id. Vectors have 64 components at most; null ones are left out.
+    """
+    if not isinstance(k, int) or k < 1:
+        raise ValueError("k must be a positive integer")
+    r = rows.where("v is not null").select("id", F.col("v"), sign_bits(F.col("v")).alias("s"))
+    q = queries.where("v is not null").select("query_id", F.col("v").alias("qv"), sign_bits(F.col("v")).alias("qs"))
+    apart = F.col("id") != F.col("query_id") if skip_self else F.lit(True)
+    h = r.select("id", "s").join(q.select("query_id", "qs"), apart).select("query_id", "id", hamming(F.col("s"), F.col("qs")).alias("bits"))
+    near = h.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy("bits", "id"))).where(F.col("place") <= factor * k)
+    scored = near.join(r.select("id", "v"), "id").join(q.select("query_id", "qv"), "query_id")
+    scored = scored.select("query_id", "id", "bits", F.round(dot(unit(F.col("v")), unit(F.col("qv"))), digits).alias("score"))
+    w = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def bag_of_words(text: Column, vocabulary: list[str]) -> Column:
     """Counts of the vocabulary's words in a text, at length 1: a deterministic embedder for tests."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))

@@ -178,6 +178,16 @@ def binary_rescore(spark: SparkSession, d: str) -> DataFrame:
     return fusion.top(h, 20, ["query_id"], "bits", "id").select("query_id", "id", "bits")
 
 
+@query(f"""with {_VEC}, b as (select vec_id, list_transform(embedding, lambda x: (x > 0)::int) as s from embeddings),
+h as (select a.vec_id as query_id, b.vec_id as id, list_sum(list_transform(list_zip(a.s, b.s), lambda z: abs(z[1] - z[2])))::int as bits from b as a join b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+n as (select * from (select *, row_number() over (partition by query_id order by bits, id) as r from h) where r <= 200),
+s as (select query_id, id, bits, score, row_number() over (partition by query_id order by score desc, id)::int as rank from n join vs using (query_id, id))
+select query_id, id, bits, score, rank from s where rank <= 10""")
+def binary_rescore_float(spark: SparkSession, d: str) -> DataFrame:
+    """The 200 nearest by sign bits rescored by the unit inner product, the ten best by it; binary_rescore is the first half alone."""
+    return vector.binary_top_k(_vq(spark, d), _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 10, skip_self=True).select("query_id", "id", "bits", "score", "rank")
+
+
 # ---- hybrid search ----
 
 _ARMS = f"""{_BM25}, {_VEC}, ve as (select query_id // 100 as query_id, id, score, row_number() over (partition by query_id order by score desc, id)::int as rank from vs),

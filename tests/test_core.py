@@ -93,6 +93,22 @@ def test_vector_top_k_checks_k(spark):
         vector.top_k(q, rows, 0)
 
 
+def test_binary_survivors_are_rescored(spark):
+    import duckdb
+
+    from rankloom.plans import registry
+
+    q = spark.createDataFrame([(1, [1.0, 1.0])], "query_id long, v array<double>")
+    rows = spark.createDataFrame([(1, [1.0, 1.0]), (2, [9.0, 0.1]), (3, [1.0, 0.9]), (4, [1.0, -0.01]), (5, None)], "id long, v array<double>")
+    got = vector.binary_top_k(q, rows, 3, skip_self=True).orderBy("rank").collect()
+    assert [(r.id, r.bits) for r in got] == [(3, 0), (2, 0), (4, 1)]
+    assert [r.id for r in vector.binary_top_k(q, rows, 1, factor=2, skip_self=True).collect()] == [3]
+    sf = "/root/testdata/sf0.001"
+    want = duckdb.sql(registry.oracle_sql()["binary_rescore_float"].replace("from embeddings", f"from '{sf}/embeddings.parquet'")).fetchall()
+    have = registry.queries()["binary_rescore_float"](spark, sf).collect()
+    assert want and sorted(r[:3] + (round(r[3], 5), r[4]) for r in want) == sorted((*r[:3], round(r[3], 5), r[4]) for r in map(tuple, have))
+
+
 def test_changes_and_integrity(spark):
     snap = lambda **k: spark.createDataFrame(list(k.items()), "path string, hash string")
     ch = records.changes(snap(a="1", b="2", c="3"), snap(a="1", b="9", d="4"))
