@@ -219,6 +219,18 @@ def test_near_vectors_equal_brute_force(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in range(500, 506)) and multi_index.near_vectors(df.limit(0)).count() == 0
 
 
+def test_near_vectors_radius_beside_a_hot_group(spark):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((1500, 16))
+    hot = rng.standard_normal(16) + 1e-6 * rng.standard_normal((1500, 16))
+    v = np.concatenate([base, base + 0.15 * rng.standard_normal(base.shape), hot])
+    got = {r.vec_id: r.n_links for r in multi_index.near_vectors(spark.createDataFrame([(i, e.tolist(), 1) for i, e in enumerate(v)], "vec_id long, embedding array<double>, label int")).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = ((u @ u.T >= 0.98).sum(axis=1) - 1)[:3000]
+    found = np.array([got[i] for i in range(3000)])
+    assert want.sum() > 1000 and (found <= want).all() and found.sum() >= 0.995 * want.sum()
+
+
 def test_fuzzy_lines(spark, edges, empty):
     line = prose(1, 30)
     docs = [(1, f"{line}\n\nother words entirely here"), (2, line + " x"), (3, line.replace(line.split()[3], "changed")), (4, line), *[(10 + i, f"{line} {i}") for i in range(6)]]
