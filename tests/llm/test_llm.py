@@ -282,6 +282,16 @@ def test_repeated_passages(spark, edges, empty):
     assert chain_dedup.repeated_passages(empty).count() == 0
 
 
+def test_passages_are_extended_across_edits(spark):
+    passage = [f"p{k}" for k in range(60)]
+    edited = [w if k not in (12, 48) else "NEW" for k, w in enumerate(passage)]
+    got = chain_dedup.align([*"uvw", *passage, "x"], ["y", *edited, *"zq"], [(16, 14, 20)], 2)
+    assert got == (3, 63, 1, 61, 2)
+    docs = [(0, f"{prose(1, 50)} {' '.join(passage)} {prose(2, 50)}"), (1, f"{prose(3, 50)} {' '.join(edited)} {prose(4, 50)}")]
+    rows = {r.doc_id: r for r in chain_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert rows[1].component_id == 0 and [(c.start, c.end) for c in rows[1].cuts] == [(50, 110)]
+
+
 def test_chain_prefers_order_over_crossing():
     best = chain_dedup.chains([(0, 0, 20), (25, 24, 20), (10, 90, 6), (50, 48, 20)], 10)
     assert best[0] == [(0, 0, 20), (25, 24, 20), (50, 48, 20)]
