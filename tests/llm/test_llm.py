@@ -140,12 +140,12 @@ def test_similar_groups_recall_at_the_limit(spark):
 
 def test_similar_groups_in_long_lists(spark, monkeypatch):
     monkeypatch.setattr(simhash_bytes, "BLOCK", 16)
-    common = prose(1, 104).split()  # 100 shingles that all share; 15 own of each pair, 2 of each text: 0.77 across pairs, 0.97 within
-    rows = [(2 * i + j, " ".join(common + [f"p{i}x{k}" for k in range(13)] + [f"o{i}x{j}x{k}" for k in range(2)])) for i in range(40) for j in range(2)]
+    common = prose(1, 104).split()  # 100 shingles that all share; 13 of each pair, 5 of each text: 0.74 across pairs, 0.92 within
+    rows = [(2 * i + j, " ".join(common + [f"p{i}x{k}" for k in range(13)] + [f"o{i}x{j}x{k}" for k in range(5)])) for i in range(120) for j in range(2)]
     assert simhash_bytes.jaccard(rows[0][1], rows[2][1], 5) < 0.8 < simhash_bytes.jaccard(rows[0][1], rows[1][1], 5)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for limit in (3, 48):
-        assert dict(simhash_bytes.similar_groups(df, list_limit=limit).collect()) == {i: i - i % 2 for i in range(80)}
+        assert dict(simhash_bytes.similar_groups(df, list_limit=limit).collect()) == {i: i - i % 2 for i in range(240)}
 
 
 def test_similar_groups_compare_sets(spark):
