@@ -64,8 +64,10 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "archives")
-    warc_salvage.write_archives(warc_salvage.records(_table(spark, sf_dir, "pages")), path)
-    r = warc_salvage.read_archives(spark, path).where("kind = 'record'")
+    pages = _table(spark, sf_dir, "pages")
+    warc_salvage.write_archives(warc_salvage.records(pages), path, warc_salvage.records_per_file(pages))
+    r = warc_salvage.read_archives(spark, path)
+    r = r.where(F.when(F.col("kind") == "record", True).otherwise(F.raise_error(F.concat_ws(" ", F.lit("a gap in"), "path", "offset", "reason"))))
     num = lambda c: F.expr(f"try_cast({c} as bigint)")
     return r.select(num("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", num("refers_to").alias("refers_to"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
@@ -13,10 +14,15 @@ from urllib.parse import quote
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from .common import staged
 
 # Fixed values of the format (ISO 28500).
 VERSION, GZIP, CRLF = b"WARC/1.1", b"\x1f\x8b\x08", b"\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: A gzip member that holds nothing.
+EMPTY_MEMBER = gzip.compress(b"", 6, mtime=0)
 _START = re.compile(rb"WARC/1\.[01]\r\n")
 RECORD_SCHEMA = "path string, offset long, kind string, length long, record_type string, record_id string, refers_to string, uri string, payload_digest string, payload_bytes long, payload binary, reason string"
 
@@ -188,15 +194,21 @@ def records(pages: DataFrame, revisit_bytes: int = 0) -> DataFrame:
     """(page_id, record binary): a WARC record per row of pages (page_id, url, html).
 
     The payload is the html in UTF-8 (null: empty). Of rows with equal payloads of at least revisit_bytes bytes the one with
-    the smallest page_id (ties: smallest url; full ties: one of them) is a response; the others revisit it. Null page_ids come
-    last; null urls are empty. Extra columns are ignored; empty input gives no rows.
+    the smallest page_id (ties: smallest url; of wholly equal rows one) is a response; the others revisit it. Null page_ids come
+    last; null urls are empty. Extra columns are ignored; empty input gives no rows. Which row is the response depends on the data
+    alone, so a lost task that is run again chooses as before.
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    p = p.withColumn("sha", F.sha1("html")).withColumn("uid", F.monotonically_increasing_id())
-    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url", "uid")
-    first = p.where(F.octet_length("html") >= revisit_bytes).groupBy("sha").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
-    j = p.join(first.select("sha", "first"), "sha", "left")
-    refers = F.when(F.col("first").isNotNull() & (F.col("first.uid") != F.col("uid")), F.struct(F.col("first.page_id").alias("id")))
+    p = p.withColumn("sha", F.sha1("html"))
+    rows = staged(p.where(F.octet_length("html") >= revisit_bytes).groupBy("sha", "page_id", "url").agg(F.count("*").alias("n")), "payloads")
+    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")
+    first = rows.groupBy("sha").agg(F.min(order).alias("first"), F.sum("n").alias("n")).where("n > 1").select("sha", "first")
+    j = p.join(first, "sha", "left")
+    head = F.col("first.page_id").eqNullSafe(F.col("page_id")) & (F.col("first.url") == F.col("url"))
+    if rows.where("n > 1").limit(1).count():  # rows repeated as a whole: one of the equal rows is the response
+        j = j.withColumn("nth", F.row_number().over(W.partitionBy("sha", "page_id", "url").orderBy(F.lit(1))))
+        head = head & (F.col("nth") == 1)
+    refers = F.when(F.col("first").isNotNull() & ~head, F.struct(F.col("first.page_id").alias("id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -208,14 +220,26 @@ def records(pages: DataFrame, revisit_bytes: int = 0) -> DataFrame:
     return j.select("page_id", "url", "html", refers.alias("r")).mapInArrow(run, "page_id long, record binary")
 
 
+def records_per_file(pages: DataFrame, file_bytes: int = 64 << 20) -> int:
+    """How many records of pages (html) fill file_bytes, by the mean size of their payloads and 600 bytes of headers."""
+    return max(1, int(file_bytes / (600 + (pages.agg(F.avg(F.octet_length(F.col("html").cast("string")))).first()[0] or 0))))
+
+
 def write_archives(recs: DataFrame, path: str, per_file: int = 4000, compression: str = "gzip") -> None:
-    """Archives in a folder, by Spark's own writer, so any file system that Spark reaches will do.
+    """Archives of records (record binary) in a folder, by Spark's own writer, so any file system that Spark reaches will do.
 
-    Each line of a text file is a record and the line's end is the two CRLFs that end a record: part files are valid archives.
-    compression none gives plain archives, gzip one member a file. Payloads must be valid UTF-8, as pages are; other payloads
-    are encoded with encode_record() alone. per_file bounds a file, which a reader holds in memory.
+    Each line of a text file is one record. gzip: a record and the two CRLFs after it are a gzip member of their own, so damage
+    costs the records it hits and no other, and the line's end is an empty member. none: plain archives, the line's end is the two
+    CRLFs. Part files are valid archives of at most per_file records (see records_per_file), as a reader holds a file in memory.
     """
-    recs.select(F.col("record").cast("string").alias("value")).write.mode("overwrite").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).option("compression", compression).text(path)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([gzip.compress(r + CRLF + CRLF, 6, mtime=0) for r in b.column(0).to_pylist()], pa.binary())], names=["record"])
+
+    lines, end = (recs.select("record"), CRLF + CRLF) if compression == "none" else (recs.select("record").mapInArrow(packed, "record binary"), EMPTY_MEMBER)
+    out = lines.select(F.col("record").cast("string").alias("value")).write.mode("overwrite").option("encoding", "ISO-8859-1").option("lineSep", end.decode("latin-1"))
+    out.option("maxRecordsPerFile", per_file).option("compression", "none").text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
