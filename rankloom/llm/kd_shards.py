@@ -3,6 +3,8 @@ reach the target bytes. DataFrame functions only."""
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -12,8 +14,10 @@ from .common import drop_staged, staged
 #: Bins of the histograms that find a quantile; each refinement divides the interval by so many.
 BINS = 1024
 REFINEMENTS = 3
-#: A group heavier than this part of a shard's target is placed first and the tree's quotas make room; at most shards * HEAVY.
-HEAVY = 32
+#: Groups of at least this part of a shard's target may be moved between leaves in the end; there are at most shards * MOVABLE.
+MOVABLE = 32
+#: Shards are even once they differ by at most this part of the target.
+EVEN = 0.002
 DIMS = ("x0", "x1", "x2")
 
 
@@ -81,6 +85,41 @@ def _tree(groups: DataFrame, quotas: list[float]) -> DataFrame:
     return at
 
 
+def evened(load: list[float], items: list[tuple[int, float, int]], target: float) -> dict[int, int]:
+    """Moves (item: shard) of items (item, weight, shard) that even out the shards' loads, heaviest first, as few as it takes.
+
+    Each turn moves one item from the fullest shard that can give to the emptiest that can take, or swaps it with one there,
+    whichever brings the two closest together; it ends when the shards are even or nothing helps.
+    """
+    load, at = list(load), {i: s for i, _, s in items}
+    own: list[list[tuple[float, int]]] = [sorted((w, i) for i, w, s in items if s == k) for k in range(len(load))]
+    for _ in range(20 * len(load) + len(items)):
+        order, best = sorted(range(len(load)), key=lambda k: load[k]), None
+        for hi, lo in ((hi, lo) for hi in reversed(order) for lo in order if load[hi] - load[lo] > EVEN * target):
+            gap, swaps = load[hi] - load[lo], [(0.0, None), *own[lo]]
+            for w, i in own[hi]:
+                k = bisect_left(swaps, w - gap / 2, key=lambda x: x[0])
+                for v, j in swaps[max(0, k - 1) : k + 1]:
+                    left = abs(gap - 2 * (w - v))
+                    if 0 < w - v < gap and (best is None or left - gap < best[0]):
+                        best = (left - gap, hi, lo, (w, i), (v, j))
+            if best:
+                break
+        if not best:
+            break
+        _, hi, lo, (w, i), (v, j) = best
+        own[hi].remove((w, i))
+        insort(own[lo], (w, i))
+        at[i] = lo
+        if j is not None:
+            own[lo].remove((v, j))
+            insort(own[hi], (v, j))
+            at[j] = hi
+        load[hi] -= w - v
+        load[lo] += w - v
+    return {i: at[i] for i, _, s in items if at[i] != s}
+
+
 def _step(node: Column, dims: list[int], cut: list[float], kids: list[tuple[int, int]]) -> Column:
     right = _dim(_pick(dims, node, "int")) >= _pick(cut, node, "double")
     return F.when(right, _pick([k[1] for k in kids], node, "int")).otherwise(_pick([k[0] for k in kids], node, "int"))
@@ -91,7 +130,9 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
 
     Rows of equal text are a group and stay together. Metadata dimensions, each scaled to 0..1: source, lang (ranked by a hash;
     a group takes the smallest of its rows) and the logarithm of the group's bytes; a hash of the text breaks ties, so a source
-    with a third of all rows splits as well. Shards have near equal bytes; only a group larger than a shard makes one larger.
+    with a third of all rows splits as well. Groups larger than a whole shard get shards of their own, at most as many as there
+    are shards; the tree places all others. Splits fall between groups, so leaves of large groups come out uneven: then groups of
+    at least 1/32 of a shard, at most 32 for each shard, are moved or swapped between leaves until the shards are even.
     Slots count from 0 without gaps, in order of a slice of doc_id, doc_id, and size. Null text: 16 bytes, a group of its own;
     null metadata rank as a value. Repeated rows keep their multiplicity; extra columns are ignored; empty input gives no rows.
     """
@@ -104,16 +145,22 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     groups = staged(groups.select("g", "w", (F.col("s") + tie * 1e-3).alias("x0"), (F.col("l") + tie * 1e-3).alias("x1"), (wide + tie * 1e-4).alias("x2")), "groups")
     total = groups.agg(F.sum("w")).first()[0] or 0
     target = total / shards
-    heavy = groups.where(F.col("w") > target / HEAVY).orderBy(F.desc("w"), "g").select("g", "w").collect() if total else []
+    large = groups.where(F.col("w") > target).orderBy(F.desc("w"), "g").select("g", "w").collect() if total else []
     load, place = [0.0] * shards, []
-    for r in heavy:  # at most shards * HEAVY groups: the largest first, each to the shard with most room
-        k = min(range(shards), key=lambda i: load[i])
-        load[k] += r.w
+    for k, r in enumerate(large):  # fewer than shards, as their sum is at most shards * target
+        load[k] = float(r.w)
         place.append((r.g, k))
-    light = groups.where(F.col("w") <= target / HEAVY)
     spread, left = [max(0.0, target - x) for x in load], total - sum(load)
     quotas = [x * left / (sum(spread) or 1) for x in spread]
-    homes = _tree(light, quotas).select("g", F.col("node").cast("int").alias("shard"))
+    homes = _tree(groups.where(F.col("w") <= target), quotas).select("g", "w", F.col("node").cast("int").alias("shard"))
+    homes = staged(homes, "leaves")
+    for r in homes.groupBy("shard").agg(F.sum("w").alias("w")).collect():
+        load[r.shard] += r.w
+    moves = evened(load, [(r.g, float(r.w), r.shard) for r in homes.where(F.col("w") >= target / MOVABLE).orderBy("g").collect()], target) if total else {}
+    homes = homes.select("g", "shard")
+    if moves:
+        to = docs.sparkSession.createDataFrame(list(moves.items()), "g long, to int")
+        homes = homes.join(F.broadcast(to), "g", "left").select("g", F.coalesce("to", "shard").alias("shard"))  # at most shards * MOVABLE rows
     if place:
         homes = homes.union(docs.sparkSession.createDataFrame(place, "g long, shard int"))
     placed = staged(rows.select("doc_id", "size", "text_crc32", "g").join(homes, "g").withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int")).select("doc_id", "size", "text_crc32", "shard", "slice"), "placed")
