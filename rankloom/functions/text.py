@@ -127,15 +127,27 @@ def name_boost(name: Column, query: Column, tokens: Column) -> Column:
 
 
 def path_boost(path: Column, tokens: Column) -> Column:
-    """1.05 and 0.05 more for each further query token in the path; 1 for none."""
-    hits = F.size(F.array_intersect(F.array_distinct(name_tokens(F.regexp_replace(F.coalesce(path, F.lit("")), "/", " "))), F.array_distinct(tokens)))
-    return F.lit(1.0) + hits * F.lit(0.05)
+    """1.05 and 0.05 more for each further query token in the lower-cased path; 1 for none."""
+    parts = F.regexp_replace(F.lower(F.coalesce(path, F.lit(""))), r"[/\\]", " ")
+    return F.lit(1.0) + F.size(F.array_intersect(F.array_distinct(name_tokens(parts)), F.array_distinct(tokens))) * F.lit(0.05)
+
+
+def asks_tests(query: Column) -> Column:
+    """Whether the query's first line asks for tests."""
+    return F.coalesce(F.regexp_extract(query, r"^([^\r\n]*)", 1), F.lit("")).rlike(r"(?i)\b(?:test|tests|testing|spec|specs)\b")
+
+
+def asks_docs(query: Column) -> Column:
+    """Whether the query's first line asks for documentation."""
+    return F.coalesce(F.regexp_extract(query, r"^([^\r\n]*)", 1), F.lit("")).rlike(r"(?i)\b(?:doc|docs|documentation|readme|guide|tutorial)\b")
 
 
 def role_boost(path: Column, asks_tests: Column, asks_docs: Column) -> Column:
-    """0.82 for tests or documentation unless the query asks for them."""
-    test = F.lower(path).rlike(r"(^|/)(tests?|__tests__|spec)(/|$)|(^|/)test_[^/]*$|[._-](test|spec)\.[^/.]+$|_test\.[^/.]+$")
-    doc = F.lower(path).rlike(r"(^|/)docs?(/|$)|\.(md|mdx|rst|markdown)$")
+    """0.82 for tests or documentation unless the query asks for them (a test in a documentation folder counts as either)."""
+    p = F.lower(F.regexp_replace(F.coalesce(path, F.lit("")), r"\\", "/"))
+    base = F.element_at(F.split(p, "/"), -1)
+    test = p.rlike(r"(?:^|/)tests?(?:/|$)") | base.startswith("test_") | base.rlike(r"(?:_test\.py|\.(?:test|spec)\.[^.]+)$")
+    doc = p.rlike(r"(?:^|/)(?:doc|docs|documentation)(?:/|$)") | base.rlike(r"[^.]\.(?:md|rst)$")
     return F.when(test & ~asks_tests, 0.82).when(doc & ~asks_docs, 0.82).otherwise(1.0)
 
 
@@ -165,13 +177,9 @@ def stable_id(prefix: str, **fields: Column) -> Column:
 
 def line_range(value: Column) -> Column:
     """'a-b' as (start, end); null where it is not two numbers with 1 <= start <= end."""
-    a, b = F.expr(f"try_cast(split_part({_sql(value)}, '-', 1) as int)"), F.expr(f"try_cast(split_part({_sql(value)}, '-', 2) as int)")
-    return F.when((a >= 1) & (b >= a), F.struct(a.alias("start"), b.alias("end")))
-
-
-def _sql(c: Column) -> str:
-    name = c._jc.toString()
-    return f"`{name}`"
+    fits = value.rlike(r"^\s*\d{1,9}\s*-\s*\d{1,9}\s*$")
+    part = lambda n: F.trim(F.split_part(value, F.lit("-"), F.lit(n))).try_cast("int")
+    return F.when(fits & (part(1) >= 1) & (part(2) >= part(1)), F.struct(part(1).alias("start"), part(2).alias("end")))
 
 
 def judge_score(reply: Column) -> Column:
@@ -184,26 +192,28 @@ def judge_score(reply: Column) -> Column:
     return F.when(v.isNull() | ~body.startswith("{"), None).when(there.isNull(), 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(10), whole)))
 
 
-def intents(query: Column, families: dict[str, str]) -> Column:
-    """Names of the families whose pattern the lower-cased query has, in their order."""
-    return F.array_compact(F.array(*[F.when(F.lower(query).rlike(p), F.lit(k)) for k, p in families.items()]))
-
-
 # Patterns of the six intents.
 INTENTS = {
-    "authentication": r"\b(auth|login|password|token|credential|session|oauth|jwt)",
-    "database": r"\b(database|sql|query|queries|table|schema|migration|orm)\b",
-    "api": r"\b(api|endpoint|route|request|response|rest|http)",
-    "error_handling": r"\b(error|exception|try|catch|raise|fail)",
-    "testing": r"\b(test|tests|mock|assert|fixture|spec)\b",
-    "configuration": r"\b(config|setting|environment|env|option)",
+    "function_search": [r"\bfunction\b", r"\bdef\b", r"\bmethod\b", r"\bclass\b", r"how.*work", r"implement.*", r"algorithm.*"],
+    "error_handling": [r"\berror\b", r"\bexception\b", r"\btry\b", r"\bcatch\b", r"handle.*error", r"exception.*handling"],
+    "database": [r"\bdatabase\b", r"\bdb\b", r"\bquery\b", r"\bsql\b", r"\bmodel\b", r"\btable\b", r"connection"],
+    "api": [r"\bapi\b", r"\bendpoint\b", r"\broute\b", r"\brequest\b", r"\bresponse\b", r"\bhttp\b", r"rest.*api"],
+    "authentication": [r"\bauth\b", r"\blogin\b", r"\btoken\b", r"\bpassword\b", r"\bsession\b", r"authenticate", r"permission"],
+    "testing": [r"\btest\b", r"\bmock\b", r"\bassert\b", r"\bfixture\b", r"unit.*test", r"integration.*test"],
 }
+# Words that make a short query a task, not a name.
+ACTION_WORDS = ["find", "search", "get", "show", "list", "how", "what", "where", "when", "create", "build", "make", "handle", "process", "manage", "implement"]
+
+
+def intents(query: Column, families: dict[str, list[str]] = INTENTS) -> Column:
+    """Names of the families of which some pattern is in the lower-cased query, in their order."""
+    return F.array_compact(F.array(*[F.when(F.lower(query).rlike("|".join(f"(?:{p})" for p in ps)), F.lit(k)) for k, ps in families.items()]))
 
 
 def entity_like(query: Column, tokens: Column) -> Column:
-    """One to three tokens, none of them an action word: likely a name."""
-    actions = F.array(*[F.lit(x) for x in ("find", "search", "get", "show", "list", "how", "where", "what", "create", "handle", "implement")])
-    return F.size(tokens).between(1, 3) & ~F.arrays_overlap(tokens, actions)
+    """At most three tokens, none of them an action word, and at most two unless the query is written in CamelCase."""
+    actions = F.array(*[F.lit(x) for x in ACTION_WORDS])
+    return (F.size(tokens) <= 3) & ~F.arrays_overlap(tokens, actions) & (query.rlike("[A-Z][a-z]+[A-Z]") | (F.size(tokens) <= 2))
 
 
 def short_natural(query: Column) -> Column:
@@ -225,3 +235,69 @@ def remote_url(remote: Column) -> Column:
 
 def pipeline_version(parts: list[str]) -> Column:
     return F.substring(F.md5(F.array_join(F.array_sort(F.array(*[F.lit(p) for p in parts])), "|")), 1, 16)
+
+
+def repository_id(remote: Column, path: Column) -> Column:
+    """sha256 of remote:<normalised url>, or of path:<path> where there is no remote."""
+    has = F.coalesce(F.trim(remote), F.lit("")) != ""
+    return F.sha2(F.when(has, F.concat(F.lit("remote:"), remote_url(remote))).otherwise(F.concat(F.lit("path:"), path)), 256)
+
+
+def checkout_id(path: Column) -> Column:
+    return F.sha2(F.concat(F.lit("path:"), path), 256)
+
+
+def project_id(path: Column, provider: Column) -> Column:
+    """md5 of the path, with :provider where there is one."""
+    return F.md5(F.when(F.coalesce(provider, F.lit("")) != "", F.concat(path, F.lit(":"), provider)).otherwise(path))
+
+
+def claim_text(text: Column) -> Column:
+    """A claim as its id sees it: white space collapsed and trimmed."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
+
+
+def claim_token(text: Column) -> Column:
+    return F.lower(claim_text(text))
+
+
+def component_name(name: Column) -> Column:
+    """Whether a name is a component's: it begins with a capital and is not all capitals."""
+    return F.coalesce(name.rlike(r"^[A-Z]") & name.rlike(r"[a-z]"), F.lit(False))
+
+
+def hook_name(name: Column) -> Column:
+    """Whether a name is a hook's: use, then a capital."""
+    return F.coalesce(name.rlike(r"^use[A-Z]"), F.lit(False))
+
+
+def gold_match(path: Column, expected: Column) -> Column:
+    """Whether a path is one of the expected ones or ends in one after a slash."""
+    return F.exists(expected, lambda e: (path == e) | path.endswith(F.concat(F.lit("/"), e)))
+
+
+def frame(label: bytes, payload: bytes) -> bytes:
+    """label, NUL, the payload's length as 8 bytes (big end first), payload."""
+    return label + b"\0" + len(payload).to_bytes(8, "big") + payload
+
+
+def dirty_fingerprint(frames: list[tuple[bytes, bytes]]) -> str:
+    """sha256 over the frames of a working tree's changes, in order; a clean tree has none."""
+    import hashlib
+
+    h = hashlib.sha256()
+    for label, payload in frames:
+        h.update(frame(label, payload))
+    return h.hexdigest()
+
+
+def staleness_warning(freshness: str | None, age_minutes: float | None = None) -> str | None:
+    """What a caller is told where results may be older than the files; None where they are fresh."""
+    if not freshness or freshness.startswith("fresh"):
+        return None
+    return f"results may be stale ({freshness})" + ("" if age_minutes is None else f": the index is {age_minutes:.0f} minutes old")
+
+
+def terminal(state: str) -> bool:
+    """Whether a job in this state has ended."""
+    return state in ("completed", "failed", "cancelled")

@@ -11,8 +11,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from rankloom.operators import nix
+from rankloom.operators.nix import whole_file
+
 # File suffixes and their languages.
-LANGUAGES = dict(x.split(":") for x in ".py:python .js:javascript .jsx:jsx .ts:typescript .tsx:tsx .svelte:svelte .go:go .rs:rust .java:java .c:c .h:c .cpp:cpp .cc:cpp .cxx:cpp .c++:cpp .cs:csharp .nix:nix .md:markdown .yaml:yaml .yml:yaml .toml:toml .tf:hcl .hcl:hcl".split())
+LANGUAGES = {
+    ".py": "python",
+    ".js": "javascript",
+    ".jsx": "jsx",
+    ".ts": "typescript",
+    ".tsx": "tsx",
+    ".svelte": "svelte",
+    ".go": "go",
+    ".rs": "rust",
+    ".java": "java",
+    ".md": "markdown",
+    ".c": "c",
+    ".cpp": "cpp",
+    ".cc": "cpp",
+    ".cxx": "cpp",
+    ".c++": "cpp",
+    ".cs": "csharp",
+    ".nix": "nix",
+    ".toml": "toml",
+    ".yml": "yaml",
+    ".yaml": "yaml",
+    ".tf": "hcl",
+}
 OVERLAP, BUDGET = 100, 2500
 SCHEMA = "path string, start_line int, end_line int, kind string, name string, parent string, text string, docstring string, tags array<string>"
 
@@ -147,13 +172,52 @@ def braced_units(path: str, text: str) -> list[dict]:
     return out
 
 
+_TAG = re.compile(r"<(script|style)\b[^>]*>", re.IGNORECASE)
+
+
+def svelte_units(path: str, text: str) -> list[dict]:
+    """Script and style elements of a component, and the declarations inside its scripts; none: one module."""
+    out, lines = [], text.split("\n")
+    line_of = lambda at: text.count("\n", 0, at) + 1
+    for m in _TAG.finditer(text):
+        kind = m[1].lower()
+        close = re.compile(f"</{kind}\\s*>", re.IGNORECASE).search(text, m.end())
+        end = close.end() if close else len(text)
+        a, b = line_of(m.start()), line_of(max(m.start(), end - 1))
+        out.append({"path": path, "start_line": a, "end_line": b, "kind": kind, "name": kind, "parent": None, "text": "\n".join(lines[a - 1 : b]), "docstring": None, "tags": ["svelte"]})
+        if kind == "script":
+            inner = text[m.end() : close.start() if close else len(text)]
+            shift = line_of(m.end()) - 1
+            out += [u | {"start_line": u["start_line"] + shift, "end_line": u["end_line"] + shift, "parent": u["parent"] or "script"} for u in braced_units(path, inner) if u["kind"] != "module"]
+    return out or whole_file(path, text)
+
+
+# Units of a file by language; braced_units() for all others. An entry takes (path, text) and gives dicts of SCHEMA's fields.
+CHUNKERS = {".py": python_units, ".svelte": svelte_units, ".nix": nix.nix_units}
+
+
+def chunker(suffix: str):
+    """Registers a chunker for a suffix, in place of the one there was; the suffix must have a language."""
+
+    def add(f):
+        if suffix not in LANGUAGES:
+            raise LookupError(f"no language has the suffix {suffix}")
+        CHUNKERS[suffix] = f
+        return f
+
+    return add
+
+
 def code_units(files: DataFrame) -> DataFrame:
     """Units of files (path, text) with a code suffix; a null or blank file gives none. One task holds a batch of files."""
 
+    chunkers = dict(CHUNKERS)
+    of = lambda path: chunkers.get("." + path.lower().rsplit(".", 1)[-1], braced_units)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cols = [c.split()[0] for c in SCHEMA.split(", ")]
         for pdf in batches:
-            rows = [u for p, t in zip(pdf["path"], pdf["text"], strict=True) if t for u in (python_units if p.lower().endswith(".py") else braced_units)(p, t)]
+            rows = [u for p, t in zip(pdf["path"], pdf["text"], strict=True) if t for u in of(p)(p, t)]
             yield pd.DataFrame(rows, columns=cols)
 
     code = [k for k, v in LANGUAGES.items() if v not in ("markdown", "yaml", "toml", "hcl")]
@@ -161,12 +225,14 @@ def code_units(files: DataFrame) -> DataFrame:
 
 
 def chunk_files(files: DataFrame) -> DataFrame:
-    """Chunks of files (path, text) by the chunker of their language: (path, start_line, end_line, kind, name, text)."""
-    cols = ["path", "start_line", "end_line", "kind", "name", "text"]
+    """Chunks of files (path, text) by the chunker of their language, as SCHEMA has them; tags hold the language."""
+    cols = [c.split()[0] for c in SCHEMA.split(", ")]
     known = files.where(F.col("text").isNotNull()).withColumn("lang_", language(F.col("path")))
-    out = code_units(known).select(cols)
+    out = code_units(known).select(cols).withColumn("tags", F.array_sort(F.array_distinct(F.array_append(F.coalesce("tags", F.array().cast("array<string>")), F.coalesce(language(F.col("path")), F.lit(""))))))
     for lang, f in (("markdown", markdown_sections), ("yaml", yaml_sections), ("toml", toml_sections), ("hcl", hcl_blocks)):
-        out = out.unionByName(f(known.where(F.col("lang_") == lang)).select(cols))
+        none = F.lit(None).cast("string")
+        own = f(known.where(F.col("lang_") == lang)).withColumns({"parent": none, "docstring": none, "tags": F.array(F.lit(lang))})
+        out = out.unionByName(own.select(cols))
     return out
 
 
@@ -249,7 +315,7 @@ def merged_chunks(files: DataFrame, units: DataFrame, budget: int = BUDGET) -> D
 
 def token_batches(lengths: Column, budget: int) -> Column:
     """Batch numbers of an ordered array of texts' lengths: a batch holds at most budget tokens of four characters."""
-    cost = lambda n: F.ceil(n / 4).cast("long")
+    cost = lambda n: F.floor(n / 4).cast("long")
     start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("batch"), F.lit(0).cast("long").alias("held"))
 
     def step(s: Column, n: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -158,6 +158,68 @@ def bm25(rows: DataFrame, phrases: DataFrame, weights: list[float], columns: lis
     return scored.join(F.broadcast(asked), "phrase").groupBy("query_id", "id").agg(F.sum("part").alias("score"))
 
 
+def build_postings(rows: DataFrame, columns: list[str], analyse=plain_tokens) -> DataFrame:
+    """(term, id, col, at array<int>, d) of rows (id, columns): a term's positions in a column, and the row's words in all columns.
+
+    What an index stores; sorted by term when written, so that a search reads the row groups of its terms alone.
+    """
+    toks = rows.select("id", *[analyse(F.col(c)).alias(f"t{i}") for i, c in enumerate(columns)])
+    sized = toks.withColumn("d", sum((F.size(f"t{i}") for i in range(1, len(columns))), F.size("t0")))
+
+    def placed(i: int) -> Column:
+        return F.transform(f"t{i}", lambda t, pos: F.struct(F.lit(i).alias("col"), t.alias("term"), pos.alias("pos")))
+
+    cells = F.concat(*[placed(i) for i in range(len(columns))])
+    occ = sized.select("id", "d", F.explode(cells).alias("x")).select("id", "d", "x.*")
+    return occ.groupBy("term", "id", "col").agg(F.array_sort(F.collect_list("pos")).alias("at"), F.first("d").alias("d"))  # a row's words of one column
+
+
+def corpus_stats(rows: DataFrame, columns: list[str], analyse=plain_tokens) -> DataFrame:
+    """rows_n and avg_d, the mean number of words a row: one row."""
+    d = sum((F.size(analyse(F.col(c))) for c in columns[1:]), F.size(analyse(F.col(columns[0]))))
+    return rows.agg(F.count("*").alias("rows_n"), F.avg(d).alias("avg_d"))
+
+
+def phrases_of(query: str, tokens: Callable[[str], list[str]]) -> list[list[str]]:
+    """The phrases of a sanitised full-text query: each of its space-separated terms, cut into tokens, is a phrase."""
+    clean = re.sub(r'[?"*/\\(){}^~:+\-\x00-\x1F]', " ", query or "")
+    return [t for t in (tokens(x) for x in clean.split() if len(x) > 1) if t]
+
+
+def bm25_stored(stored: DataFrame, stats: DataFrame, phrases: DataFrame, weights: list[float]) -> DataFrame:
+    """bm25() over stored postings (build_postings) and their corpus_stats: the same scores for phrases (query_id, n, words).
+
+    Few terms are given to the scan as a filter; more are joined. A phrase's occurrences in a column are the positions that all its
+    words share once each is moved back by its place in the phrase.
+    """
+    asked = [(r.query_id, [str(w) for w in r.words]) for r in phrases.select("query_id", "words").limit(1_000_001).collect() if r.words]
+    if len(asked) > 1_000_000:
+        raise ValueError("more than 1,000,000 phrases: search in turns")
+    wanted = sorted({tuple(w) for _, w in asked})
+    number = {w: i for i, w in enumerate(wanted)}
+    spark, terms = stored.sparkSession, sorted({w for p in wanted for w in p})
+    if not wanted:
+        return spark.createDataFrame([], "query_id long, id long, score double")
+    own = stored.where(F.col("term").isin(terms)) if len(terms) <= 500 else stored
+    places = spark.createDataFrame([(i, k, w, len(p)) for p, i in number.items() for k, w in enumerate(p)], "phrase int, place int, term string, length int")
+    factor = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), F.col("col") + 1)
+    j = own.join(F.broadcast(places), "term")  # at most the words of the phrases counted above
+    single = j.where("length = 1").select("phrase", "id", "d", "col", F.size("at").alias("f"))
+    if max(map(len, wanted)) > 1:
+        moved = j.where("length > 1").select("phrase", "length", "id", "d", "col", "place", F.expr("transform(at, p -> p - place)").alias("at"))
+        both = moved.groupBy("phrase", "length", "id", "d", "col").agg(F.collect_list("at").alias("ats")).where(F.size("ats") == F.col("length"))
+        met = F.aggregate(F.slice("ats", 2, F.col("length")), F.get("ats", F.lit(0)), lambda x, y: F.array_intersect(x, y))
+        single = single.union(both.select("phrase", "id", "d", "col", F.size(met).alias("f")).where("f > 0"))
+    freq = single.groupBy("phrase", "id", "d").agg(F.sum(factor * F.col("f")).alias("f"))
+    df = freq.groupBy("phrase").agg(F.count("*").alias("n"))
+    idf = F.log((F.col("rows_n") - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    df = df.crossJoin(F.broadcast(stats)).select("phrase", F.when(idf > 0, idf).otherwise(LEAST_IDF).alias("idf"), "avg_d")  # one row of statistics
+    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("d") / F.col("avg_d")))
+    by_query = spark.createDataFrame([(q, number[tuple(w)]) for q, w in asked], "query_id long, phrase int")
+    scored = freq.join(F.broadcast(df), "phrase").select("phrase", "id", part.alias("part"))
+    return scored.join(F.broadcast(by_query), "phrase").groupBy("query_id", "id").agg(F.sum("part").alias("score"))
+
+
 def one_word_phrases(queries: DataFrame, analyse=plain_tokens) -> DataFrame:
     """Queries (query_id, text) as one phrase per word."""
     return queries.select("query_id", F.posexplode(analyse(F.col("text"))).alias("n", "w")).select("query_id", "n", F.array("w").alias("words"))
@@ -193,34 +255,66 @@ def overlay(base: list[tuple[str, list[str]]], changes: dict[str, list[str] | No
     return [(k, v) for k, v in out if v is not None]
 
 
-_STOP = frozenset("the a an and or of in on for to with is are was be by from as at it this that which how what where when why does do not can if".split())
-_URL = re.compile(r"https?://[^\s/]+/[^\s/]+/[^\s/]+/blob/[^\s/]+/([^\s#?]+)")
-_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*")
-
-
-def signals(query: str, limit: int = 12) -> dict:
-    """What a query names outright: identifiers, path hints, (owner, member) pairs, and the lexical terms made of them."""
-    names: dict[str, str] = {}
-    owners, paths, rest = [], [], query
-    for p in _URL.findall(query):
-        paths.append(p)
-    rest = _URL.sub(" ", rest)
-    for tok in re.findall(r"(?<![\w/.])(?:[\w-]+/)+[\w.-]+", rest):
-        paths.append(tok)
-    quoted = re.findall(r"`([^`]+)`", rest)
-    for tok in [*quoted, *_NAME.findall(rest)]:
-        t = tok.strip().rstrip("()")
-        shape = "_" in t or "." in t or re.fullmatch(r"[A-Z]{2,16}", t) or re.search(r"[a-z][A-Z]", t) or tok in quoted
-        if not t or not shape or t.lower() in _STOP or any(t in p for p in paths):
+# Words that are no lexical terms, and the suffixes that tell a file's name from owner.member.
+STOP_WORDS = frozenset("about after again against been before being below bug cannot could current default does from have here into least more not only security should shown summary than that the their then there these this through when where which with would".split())
+FILE_SUFFIXES = frozenset("c cc cpp go h hpp java js json jsx md py rb rs toml ts tsx yaml yml".split())
+_TOKEN = re.compile(r"[A-Za-z_][A-Za-z0-9_.-]*")
+_TICKED = re.compile(r"(?<!`)`([^`\n]+)`(?!`)")
+_PINNED = re.compile(r"https://github\.com/[^\s)]+/blob/[0-9a-f]{40}/([^#\s)]+)", re.IGNORECASE)
+_OWNER = re.compile(r"([A-Za-z_][A-Za-z0-9_]*)\.([A-Za-z_][A-Za-z0-9_]*)")
+
+
+class _Once(dict):
+    """Values in the order in which they first came, told apart without case and without marks at their ends."""
+
+    def put(self, value: str) -> None:
+        bare = value.strip().strip("`'\"()[]{}<>.,:;!?*")
+        if bare:
+            self.setdefault(bare.casefold(), bare)
+
+
+def owner_member(name: str) -> tuple[str, str] | None:
+    """The two parts of owner.member; None for anything else and for file names."""
+    m = _OWNER.fullmatch(name)
+    return None if m is None or m[2].casefold() in FILE_SUFFIXES else (m[1], m[2])
+
+
+def _explicit(token: str) -> bool:
+    return bool("_" in token or "." in token or (token.isupper() and 2 <= len(token) <= 16) or re.search("[a-z][A-Z]", token))
+
+
+def signals(query: str | None, limit: int = 12) -> dict:
+    """What a query names outright: identifiers, path hints, (owner, member) pairs, and at most limit lexical terms.
+
+    Identifiers are tokens between single back ticks, and elsewhere tokens with _ or . or a lower-upper border, or of 2 to 16
+    capitals; paths come from links to files of a pinned revision. If there are any, the other words of three letters or more that
+    are no stop words fill the lexical terms, those of the first line first.
+    """
+    text = (query or "").replace("\r\n", "\n").replace("\r", "\n").strip()
+    prose = _TICKED.sub(" ", re.sub(r"https?://\S+", " ", text))
+    names, paths, terms, pairs = _Once(), _Once(), _Once(), {}
+    found = [t for span in _TICKED.findall(text) for t in _TOKEN.findall(span)]
+    loose = [t for t in (x.strip("._-") for x in _TOKEN.findall(prose)) if _explicit(t)]
+    for i, token in enumerate([*found, None, *loose]):
+        if token is None:  # paths rank between what is ticked and what is not
+            for path in _PINNED.findall(text):
+                paths.put(path.strip(".,:;!?"))
+                terms.put(path.strip(".,:;!?"))
             continue
-        if "." in t and re.fullmatch(r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+", t):
-            owner, member = t.split(".")[-2:]
-            owners.append((owner, member))
-        names.setdefault(t.casefold(), t)
-    terms: dict[str, str] = {}
-    for t in [x for o in owners for x in o] + paths + [n for n in names.values() if "." not in n]:
-        terms.setdefault(t.casefold(), t)
-    return {"explicit": bool(names or paths), "identifiers": list(names.values()), "path_hints": list(dict.fromkeys(paths)), "owner_members": list(dict.fromkeys(owners)), "lexical_terms": list(terms.values())[:limit]}
+        names.put(token)
+        pair = owner_member(token.strip())
+        for part in pair or (token,):
+            terms.put(part)
+        if pair:
+            pairs[tuple(x.casefold() for x in pair)] = i
+    if names or paths:
+        for token in (x.strip("._-") for x in _TOKEN.findall(text.split("\n", 1)[0] + "\n" + prose)):
+            if len(terms) >= limit:
+                break
+            if len(token) >= 3 and token.casefold() not in STOP_WORDS:
+                for part in owner_member(token) or (token,):
+                    terms.put(part)
+    return {"explicit": bool(names or paths), "identifiers": list(names.values()), "path_hints": list(paths.values()), "owner_members": list(pairs), "lexical_terms": list(terms.values())[:limit]}
 
 
 def lexical_query(query: str) -> str:
@@ -229,27 +323,37 @@ def lexical_query(query: str) -> str:
     return " ".join(s["lexical_terms"]) if s["explicit"] and s["lexical_terms"] else query
 
 
-def signal_boost(sig: dict, path: Column, name: Column, parent: Column, content: Column) -> Column:
+_STRINGS = T.ArrayType(T.StringType())
+_PAIRS = T.ArrayType(T.StructType([T.StructField("owner", T.StringType()), T.StructField("member", T.StringType())]))
+SIGNALS = T.StructType([T.StructField("explicit", T.BooleanType()), T.StructField("path_hints", _STRINGS), T.StructField("owner_members", _PAIRS), T.StructField("patterns", _STRINGS), T.StructField("lexical_query", T.StringType())])
+
+
+@F.pandas_udf(SIGNALS)
+def signals_of(queries: pd.Series) -> pd.DataFrame:
+    """The signals of query texts: what signal_boost() reads (patterns: the identifiers that stand by themselves) and the lexical query."""
+    rows = []
+    for q in queries:
+        s = signals(q)
+        plain = [i.casefold() for i in s["identifiers"] if not owner_member(i)]
+        bounded = [f"(?<![A-Za-z0-9_]){re.escape(i)}(?![A-Za-z0-9_])" for i in plain]
+        rows.append({"explicit": s["explicit"], "path_hints": [h.replace("\\", "/").casefold() for h in s["path_hints"]], "owner_members": [{"owner": o, "member": m} for o, m in s["owner_members"]], "patterns": bounded, "lexical_query": lexical_query(q or "")})
+    return pd.DataFrame(rows, columns=["explicit", "path_hints", "owner_members", "patterns", "lexical_query"])
+
+
+def signal_boost(sig: Column, path: Column, name: Column, parent: Column, content: Column) -> Column:
     """At most 3: 3 for a hinted path, 1.6 for its file name, 1.8 for owner and member, 1.12 for the member alone, 3 for an
-    identifier that stands in the content by itself, 1.4 for one that is the name, the parent or the file's stem."""
-    one, p = F.lit(1.0), F.coalesce(path, F.lit(""))
-    n, o, c = F.lower(F.coalesce(name, F.lit(""))), F.lower(F.coalesce(parent, F.lit(""))), F.coalesce(content, F.lit(""))
-    base = F.element_at(F.split(p, "/"), -1)
-    out = [one]
-    for h in sig["path_hints"]:
-        h = h.lstrip("/")
-        out.append(F.when((p == h) | p.endswith("/" + h) | F.lit(h).endswith(F.concat(F.lit("/"), p)), 3.0).when(base == h.rsplit("/", 1)[-1], 1.6).otherwise(1.0))
-    for owner, member in sig["owner_members"]:
-        has = (n == member.lower()) | _bounded(c, member)
-        out.append(F.when(has & ((o == owner.lower()) | (n == owner.lower()) | _bounded(c, owner)), 1.8).when(has, 1.12).otherwise(1.0))
-    for i in sig["identifiers"]:
-        low = i.lower()
-        out.append(F.when(_bounded(c, i), 3.0).when((n == low) | (o == low) | (F.lower(F.regexp_replace(base, r"\.[^.]*$", "")) == low), 1.4).otherwise(1.0))
-    return F.least(F.lit(3.0), F.greatest(*out, one))
-
-
-def _bounded(text: Column, word: str) -> Column:
-    return text.rlike(r"(?i)(?<![\p{L}\p{N}_])" + re.escape(word) + r"(?![\p{L}\p{N}_])")
+    identifier that stands by itself in the name, the parent, the path or the content. sig: a column of signals_of()."""
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    p, n, o, c = F.regexp_replace(low(path), r"\\", "/"), low(name), low(parent), low(content)
+    last = lambda x: F.element_at(F.split(x, "/"), -1)
+    stem = F.regexp_replace(last(p), r"(?<=.)\.[^.]*$", "")
+    hinted = F.exists(sig["path_hints"], lambda h: (p == h) | p.endswith(F.concat(F.lit("/"), h)))
+    named = F.exists(sig["path_hints"], lambda h: last(p) == last(h))
+    member = lambda m: F.contains(n, m["member"]) | F.contains(c, m["member"])
+    owned = F.exists(sig["owner_members"], lambda m: member(m) & ((m["owner"] == n) | (m["owner"] == o) | (m["owner"] == stem)))
+    stands = F.exists(sig["patterns"], lambda x: F.rlike(n, x) | F.rlike(o, x) | F.rlike(p, x) | F.rlike(c, x))
+    best = F.when(hinted | stands, 3.0).when(owned, 1.8).when(named, 1.6).when(F.exists(sig["owner_members"], member), 1.12).otherwise(1.0)
+    return F.when(sig["explicit"], best).otherwise(1.0)
 
 
 def idf(n_rows: int, n: int) -> float:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -101,12 +102,12 @@ def cache_misses(texts: DataFrame, cache: DataFrame, provider: str, model: str,
 def graph_scores(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, types: list[str] | None = None, rounds: int = 5, damping: float = 0.85, most_nodes: int = 2000) -> DataFrame:
     """(path, score) by personalised PageRank on the one-hop neighbourhood of seed files.
 
-    seeds (path, sim), nodes (id, path), edges (source, target, type). Edges count in both directions; an edge between two seeds
+    seeds (path, sim), nodes (id, path), edges (source, target, type); nodes are found as located() does. Edges count in both directions; an edge between two seeds
     is found from either end and so counts twice. Above most_nodes nodes only seeds stay. A node's seed mass is its file's
     similarity (0 at least) over the file's nodes, normalised; each round r = damping * walk + (1 - damping) * seed, mass at
     nodes without edges lost. A path's score is its nodes' mean, the largest scaled to 1. Fewer than two located paths: no rows.
     """
-    at = nodes.join(seeds, "path")
+    at = located(seeds, nodes)
     size = at.groupBy("path").agg(F.count("*").alias("k"))
     mass = at.join(size, "path").select("id", "path", (F.greatest("sim", F.lit(0.0)) / F.col("k")).alias("m"))
     total = mass.agg(F.sum("m").alias("all"), F.countDistinct("path").alias("paths")).first()
@@ -133,6 +134,15 @@ def graph_scores(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, types: li
     return per.crossJoin(F.broadcast(top)).select("path", F.when(F.col("top") > 0, F.col("x") / F.col("top")).otherwise(0.0).alias("score"))
 
 
+def located(paths: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(path, sim, id): graph nodes (id, path) of candidate paths (path, sim): those of an equal path, or of a longer one that ends
+    in it after a slash. An equality join on every such end of a node's path; characters of the path stand for themselves."""
+    parts = F.split("path", "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    own = nodes.select("id", F.explode(F.array_distinct(ends)).alias("path"))
+    return paths.select("path", "sim").join(own, "path").select("path", "sim", "id").distinct()
+
+
 def blend_scores(candidates: DataFrame, ppr: DataFrame, alpha: float) -> DataFrame:
     """Scores of candidates (path, score) times 1 + alpha times the path's graph score; alpha 0 changes nothing."""
     if alpha == 0:
@@ -143,6 +153,9 @@ def blend_scores(candidates: DataFrame, ppr: DataFrame, alpha: float) -> DataFra
 
 # ---- evaluation ----
 
+#: Differences that one array holds in a bootstrap.
+MOST_DELTAS = 100_000
+
 
 def reciprocal_rank(expected: Column, ranked: Column) -> Column:
     at = F.array_min(F.filter(F.transform(F.array_distinct(expected), lambda e: F.array_position(ranked, e)), lambda p: p > 0))
@@ -165,15 +178,65 @@ def summary(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), mean(reciprocal_rank(e, r)).alias("mrr"), mean(hit_at(e, r, 1)).alias("hr1"), mean(recall_at(e, r, 10)).alias("recall10"))
 
 
-def upper_median(value: Column) -> Column:
-    """The element at n div 2 of the sorted values (an aggregate)."""
-    s = F.array_sort(F.collect_list(value))
-    return F.get(s, F.floor(F.size(s) / 2).cast("int"))
+def gold_rank(rows: DataFrame) -> DataFrame:
+    """rows (query_id, expected, ranked) with gold_rank: the first place of ranked that is an expected path or ends in one (null:
+    none)."""
+    hits = F.filter(F.transform("ranked", lambda p, i: F.when(T.gold_match(p, F.col("expected")), i + 1)), lambda x: x.isNotNull())
+    return rows.withColumn("gold_rank", F.array_min(hits))
+
+
+def multi_turn(turns: DataFrame) -> DataFrame:
+    """(id, anchor_shift, by_3, by_5, first_turn) of turns (id, anchor_shift, turn from 1, gold_rank): gold within 5 places in turns
+    1 to 3, within 10 in turns 1 to 5, and the first turn with gold within 10."""
+    within = lambda t, r: F.coalesce(F.bool_or((F.col("turn") <= t) & (F.col("gold_rank") <= r)), F.lit(False))
+    return turns.groupBy("id", "anchor_shift").agg(within(3, 5).alias("by_3"), within(5, 10).alias("by_5"), F.min(F.when(F.col("gold_rank") <= 10, F.col("turn"))).alias("first_turn"))
+
+
+def turn_hits(turns: DataFrame) -> DataFrame:
+    """(turn, anchor_shift, n, hr_1, hr_5, hr_10) of turns (turn, anchor_shift, gold_rank)."""
+    share = lambda k: F.round(F.avg(F.coalesce(F.col("gold_rank") <= k, F.lit(False)).cast("double")), 6)
+    return turns.groupBy("turn", "anchor_shift").agg(F.count("*").alias("n"), *[share(k).alias(f"hr_{k}") for k in (1, 5, 10)])
+
+
+def turn_summary(bundles: DataFrame) -> DataFrame:
+    """(n, recall5_by_3, recall10_by_5, median_first_turn) of multi_turn() rows; the median is the upper one of those that have one."""
+    mean = lambda c: F.round(F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0)), 6)
+    g = bundles.agg(F.count("*").alias("n"), mean("by_3").alias("recall5_by_3"), mean("by_5").alias("recall10_by_5"))
+    m = upper_median(bundles.withColumn("_", F.lit(0)), ["_"], "first_turn", "median_first_turn").select("median_first_turn")
+    return g.join(F.broadcast(m), F.lit(True), "left")  # one row each
+
+
+def paired(baseline: DataFrame, treatment: DataFrame) -> DataFrame:
+    """(query, before, after, delta) of queries (query, value) that both have; of a query's several rows the last by n counts."""
+    last = lambda df: df.groupBy("query").agg(F.max_by("value", "n").alias("value"))
+    j = last(baseline).withColumnRenamed("value", "before").join(last(treatment).withColumnRenamed("value", "after"), "query")
+    return j.withColumn("delta", F.col("after") - F.col("before"))
+
+
+def unpaired(baseline: DataFrame, treatment: DataFrame) -> DataFrame:
+    """(query, only_in): queries that one side alone has."""
+    j = baseline.select("query").distinct().withColumn("a", F.lit(1)).join(treatment.select("query").distinct().withColumn("b", F.lit(1)), "query", "full")
+    return j.where("a is null or b is null").select("query", F.when(F.col("a").isNull(), "treatment").otherwise("baseline").alias("only_in"))
+
+
+def upper_median(rows: DataFrame, keys: list[str], value: str, name: str = "p50") -> DataFrame:
+    """The value at n div 2 of each group's sorted values (from 0); nulls left out.
+
+    Equal values are counted first and then ranked by running sums of their counts, so no group is gathered into an array.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    by = W.partitionBy(*keys)
+    upto = F.sum("_n").over(by.orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+    ranked = counted.withColumn("_upto", upto).withColumn("_all", F.sum("_n").over(by))
+    at = F.floor(F.col("_all") / 2)
+    return ranked.where((F.col("_upto") > at) & (F.col("_upto") - F.col("_n") <= at)).select(*keys, F.col(value).alias(name))
 
 
 def bootstrap(deltas: DataFrame, resamples: int = 10_000, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """n, mean, low, high of paired differences (delta); draws by hash, so that every run agrees. At most some thousand deltas."""
-    d = deltas.agg(F.array_sort(F.collect_list("delta")).alias("ds"))
+    """n, mean, low, high of paired differences (delta); draws by hash, so that every run agrees. More than MOST_DELTAS fail."""
+    if deltas.limit(MOST_DELTAS + 1).count() > MOST_DELTAS:
+        raise ValueError(f"a bootstrap takes at most {MOST_DELTAS} differences")
+    d = deltas.agg(F.array_sort(F.collect_list("delta")).alias("ds"))  # checked above
     spark = deltas.sparkSession
     draws = spark.range(resamples).crossJoin(F.broadcast(d))  # one row: the differences of a gold set
     n = F.size("ds")
@@ -202,25 +265,41 @@ def drift(current: DataFrame, baseline: DataFrame, threshold: float = 0.05) -> D
 # ---- evidence ----
 
 
+_LINE_ENDS = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
+
+
 def source_lines(chunks: DataFrame) -> DataFrame:
     """(path, line_no, line) of chunks (path, start_line, end_line, text) that are not blank; a chunk with more lines than its
-    range, or without a path or range, gives none."""
-    split = F.split("text", "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]", -1)
+    range, or without a path or range, gives none.
+
+    A chunk is split once: whether its lines fit its range is told by counting line ends, before the split.
+    """
     fits = (F.coalesce("path", F.lit("")) != "") & (F.col("start_line") >= 1) & (F.col("end_line") >= F.col("start_line"))
-    rows = chunks.where(fits).withColumn("ls", split).withColumn("ls", F.when(F.element_at("ls", -1) == "", F.expr("slice(ls, 1, size(ls) - 1)")).otherwise(F.col("ls")))
-    rows = rows.where(F.size("ls") <= F.col("end_line") - F.col("start_line") + 1)
-    return rows.select("path", "start_line", F.posexplode("ls").alias("i", "line")).where(F.trim(F.regexp_replace("line", r"\s", " ")) != "").select("path", (F.col("start_line") + F.col("i")).alias("line_no"), "line")
+    n = F.regexp_count("text", F.lit(_LINE_ENDS)) + F.when(F.col("text").rlike(f"(?:{_LINE_ENDS})\\z"), 0).otherwise(1)
+    rows = chunks.where(fits).where(n <= F.col("end_line") - F.col("start_line") + 1)
+    lines = rows.select("path", "start_line", F.posexplode(F.split("text", _LINE_ENDS, -1)).alias("i", "line"))
+    return lines.where(F.col("line").rlike(r"[^\s]")).select("path", (F.col("start_line") + F.col("i")).alias("line_no"), "line")
+
+
+def chunk_metadata(results: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Results (id, ...) with their chunks' path, lines and text; ids that no chunk has give no rows."""
+    return results.join(chunks.select("id", "path", "start_line", "end_line", "text"), "id")
 
 
 def evidence(lines: DataFrame, repository: str, revision: str, generation: str) -> DataFrame:
     """lines (path, line_no, line) with an id that depends on where and what they are, and a clipped snippet."""
-    eid = T.stable_id("ev", end_line=F.col("line_no").cast("string"), index_generation=T.json_text(F.lit(generation)), path=T.json_text(F.col("path")), repository_id=T.json_text(F.lit(repository)), source_revision=T.json_text(F.lit(revision)), start_line=F.col("line_no").cast("string"), text_sha256=T.json_text(F.sha2("line", 256)))
+    const = lambda x: F.lit(json.dumps(x, ensure_ascii=False))
+    path = F.when(F.col("path").rlike(r'[\x00-\x1F"\\]'), T.json_text(F.col("path"))).otherwise(F.concat(F.lit('"'), "path", F.lit('"')))  # most need no escape
+    eid = T.stable_id("ev", end_line=F.col("line_no").cast("string"), index_generation=const(generation), path=path, repository_id=const(repository), source_revision=const(revision), start_line=F.col("line_no").cast("string"), text_sha256=F.concat(F.lit('"'), F.sha2("line", 256), F.lit('"')))
     return lines.select("path", "line_no", eid.alias("evidence_id"), T.clip(F.trim("line"), 200).alias("snippet"))
 
 
 # ---- reranking ----
 
 RERANKERS: dict[str, Callable] = {}
+T_REPLIES = "query_id long, ids array<string>"
+#: Path prefixes with a setting of their own; more are no table of settings.
+MOST_PREFIXES = 10_000
 
 
 def reranker(name: str) -> Callable:
@@ -263,15 +342,23 @@ def rerank_pointwise(results: DataFrame, k: int, judge: Column | None = None, po
 
 @reranker("listwise")
 def rerank_listwise(results: DataFrame, k: int, replies: DataFrame | None = None, pool: int = 15, **_) -> DataFrame:
-    """replies (query_id, ids): a model's order of the pool; anything but an exact permutation keeps the order."""
+    """replies (query_id, ids, error): a model's order of the pool, error optional; anything but an exact permutation keeps the
+    order. reason: applied, or few_candidates (no more than one), no_reply, the reply's error, duplicate_ids, unknown_ids or
+    missing_ids. Of several replies to a query the smallest array counts.
+    """
     q = W.partitionBy("query_id")
     r = results.withColumn("before", F.row_number().over(q.orderBy(F.desc("score"), "id")))
-    own = r.where(F.col("before") <= pool).groupBy("query_id").agg(F.array_sort(F.collect_list("id")).alias("own"))
-    ok = own.join(replies, "query_id").where(F.array_sort("ids") == F.col("own")).select("query_id", F.posexplode("ids").alias("place", "id"))
-    j = r.join(ok, ["query_id", "id"], "left")
-    applied = F.max("place").over(q).isNotNull()
-    j = j.withColumn("reason", F.when(applied, "applied").otherwise("invalid_reply"))
-    order = q.orderBy(F.coalesce("place", F.col("before") + (1 << 20)), "before")
+    if replies is None:
+        replies = results.sparkSession.createDataFrame([], T_REPLIES)
+    has = "error" in replies.columns
+    said = replies.groupBy("query_id").agg(F.min(F.struct(F.col("ids").cast("array<string>").alias("ids"), (F.col("error") if has else F.lit(None)).cast("string").alias("error"))).alias("said"))
+    own = r.where(F.col("before") <= pool).groupBy("query_id").agg(F.collect_list(F.col("id").cast("string")).alias("own"))  # pool ids
+    ids = F.col("said.ids")
+    bad = F.when(F.size("own") <= 1, "few_candidates").when(F.col("said").isNull(), "no_reply").when(F.col("said.error").isNotNull(), F.col("said.error")).when(ids.isNull(), "no_reply")
+    bad = bad.when(F.size(F.array_distinct(ids)) < F.size(ids), "duplicate_ids").when(F.size(F.array_except(ids, F.col("own"))) > 0, "unknown_ids").when(F.size(F.array_except(F.col("own"), ids)) > 0, "missing_ids").otherwise("applied")
+    judged = own.join(said, "query_id", "left").select("query_id", bad.alias("reason"), ids.alias("ids"))
+    j = r.join(judged, "query_id", "left").withColumn("place", F.when((F.col("reason") == "applied") & (F.col("before") <= pool), F.array_position("ids", F.col("id").cast("string"))))
+    order = q.orderBy(F.coalesce("place", F.col("before").cast("long")), "before")
     return j.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*results.columns, "rank", "reason")
 
 
@@ -282,7 +369,31 @@ def rerank_cross_encoder(results: DataFrame, k: int, model: Column | None = None
     return rerank_off(r, k).withColumn("reason", F.lit("cross_encoder"))
 
 
+# What went wrong with a judge's call, and the public reasons.
+RATE_LIMIT, TIMEOUT, TOO_MANY = "rate_limit", "timeout", "too_many_failures"
+
+
+def failure_reason(failures: DataFrame) -> DataFrame:
+    """(query_id, reason) of failed calls (query_id, error): rate_limit where it is the most frequent or one short of it, else
+    timeout likewise, else too_many_failures."""
+    per = failures.groupBy("query_id", "error").agg(F.count("*").alias("n"))
+    n = lambda e: F.coalesce(F.sum(F.when(F.col("error") == e, F.col("n"))), F.lit(0))
+    g = per.groupBy("query_id").agg(F.max("n").alias("most"), n(RATE_LIMIT).alias("limited"), n(TIMEOUT).alias("late"))
+    near = lambda c: (F.col(c) > 0) & (F.col(c) >= F.col("most") - 1)
+    return g.select("query_id", F.when(near("limited"), RATE_LIMIT).when(near("late"), TIMEOUT).otherwise(TOO_MANY).alias("reason"))
+
+
+def prompt_clauses(results: DataFrame, clauses: DataFrame) -> DataFrame:
+    """(query_id, id, clauses): texts of the clauses (prefix, clause) whose prefix a candidate's path starts with, by prefix."""
+    if clauses.limit(MOST_PREFIXES + 1).count() > MOST_PREFIXES:
+        raise ValueError(f"more than {MOST_PREFIXES} prefixes")
+    j = results.select("query_id", "id", "path").join(F.broadcast(clauses), F.col("path").startswith(F.col("prefix")))  # checked above
+    return j.groupBy("query_id", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("prefix", "clause"))), lambda x: x["clause"]).alias("clauses"))  # a table of settings
+
+
 def threshold_by_prefix(results: DataFrame, overrides: DataFrame, default: float) -> DataFrame:
     """Per query the largest threshold of the prefixes (prefix, threshold) that its candidates' paths start with, else default."""
-    j = results.join(F.broadcast(overrides.limit(10_000)), F.col("path").startswith(F.col("prefix")), "left")  # a table of settings
+    if overrides.limit(MOST_PREFIXES + 1).count() > MOST_PREFIXES:
+        raise ValueError(f"more than {MOST_PREFIXES} prefixes")
+    j = results.join(F.broadcast(overrides), F.col("path").startswith(F.col("prefix")), "left")  # checked above
     return j.groupBy("query_id").agg(F.coalesce(F.max("threshold"), F.lit(default)).alias("threshold"))
