@@ -172,10 +172,8 @@ def int8_drift(spark: SparkSession, d: str) -> DataFrame:
 select query_id, id, bits from (select *, row_number() over (partition by query_id order by bits, id) as r from h) where r <= 20""")
 def binary_rescore(spark: SparkSession, d: str) -> DataFrame:
     """Nearest by sign bits: every vector whose id is divisible by 100 against all."""
-    b = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), vector.sign_bits(F.col("embedding")).alias("s"))
-    q = b.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("s").alias("qs"))
-    h = b.join(q, F.col("id") != F.col("query_id")).select("query_id", "id", vector.hamming(F.col("s"), F.col("qs")).alias("bits"))
-    return fusion.top(h, 20, ["query_id"], "bits", "id").select("query_id", "id", "bits")
+    rows = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return vector.binary_nearest(_vq(spark, d), rows, 20, skip_self=True).select("query_id", "id", "bits")
 
 
 @query(f"""with {_VEC}, b as (select vec_id, list_transform(embedding, lambda x: (x > 0)::int) as s from embeddings),
@@ -314,7 +312,7 @@ def history_retention(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select event_type, list_sort(list(value))[(count(*) // 2) + 1] as p50 from events group by event_type")
 def history_p50(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "events").groupBy("event_type").agg(records.upper_median(F.col("value")).alias("p50"))
+    return records.upper_median(_t(spark, d, "events"), ["event_type"], "value")
 
 
 @query("select doc_id, sha256(source || chr(0) || lang || chr(0) || doc_id) as generation from documents")
@@ -323,10 +321,10 @@ def generation_id(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""select path, (i)::int as line_no, 'ev:v1:' || sha256('{{"end_line":' || i || ',"index_generation":"g","path":"' || path || '","repository_id":"r","source_revision":"v","start_line":' || i || ',"text_sha256":"' || sha256(l) || '"}}') as evidence_id
-from (select {_PATH} as path, string_split(text, chr(10)) as ls from documents where doc_id % 10 = 0 and not regexp_matches(text, '[\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]')), unnest(ls) with ordinality as u(l, i) where trim(regexp_replace(l, '\\s', ' ', 'g')) <> ''""".replace("where doc_id % 10 = 0 and not", "where not"))
+from (select {_PATH} as path, regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]') as ls from documents), unnest(ls) with ordinality as u(l, i) where trim(regexp_replace(l, '\\s', ' ', 'g')) <> ''""")
 def evidence_ids(spark: SparkSession, d: str) -> DataFrame:
-    x = _docs(spark, d).where(~F.col("text").rlike("[\r\u000b\u000c\u001c-\u001e\u0085  ]"))
-    c = x.select("path", F.lit(1).alias("start_line"), F.size(F.split("text", "\n", -1)).alias("end_line"), "text")
+    x = _docs(spark, d)
+    c = x.select("path", F.lit(1).alias("start_line"), F.size(F.split("text", records._LINE_ENDS, -1)).alias("end_line"), "text")
     return records.evidence(records.source_lines(c), "r", "v", "g").select("path", "line_no", "evidence_id")
 
 
@@ -391,7 +389,7 @@ def rerank_threshold(spark: SparkSession, d: str) -> DataFrame:
     return records.threshold_by_prefix(_t(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderpriority").alias("path")), over, 5.0)
 
 
-@query("""with recursive o as (select conv_id, row_number() over (partition by conv_id order by turn) as i, (length(text) + 3) // 4 as c from conversations),
+@query("""with recursive o as (select conv_id, row_number() over (partition by conv_id order by turn) as i, length(text) // 4 as c from conversations),
 r as (select conv_id, i, c as held, 0 as batch from o where i = 1 union all select o.conv_id, o.i, case when r.held > 0 and r.held + o.c > 100 then o.c else r.held + o.c end, case when r.held > 0 and r.held + o.c > 100 then r.batch + 1 else r.batch end from r join o on o.conv_id = r.conv_id and o.i = r.i + 1)
 select conv_id, i as turn_no, batch::int as batch from r""")
 def token_batches(spark: SparkSession, d: str) -> DataFrame:

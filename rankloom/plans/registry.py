@@ -26,7 +26,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import catalog  # noqa: F401  registers on import
+    from . import catalog, retrieval, scalars  # noqa: F401  registers on import
 
 
 def queries() -> dict[str, Query]:

@@ -67,8 +67,8 @@ def test_bm25_equals_sqlite(spark):
 
 
 def test_signals_and_expansion():
-    s = lexical.signals("see `parse_row` and Flow.validate in src/a/b.py")
-    assert s["explicit"] and ("Flow", "validate") in s["owner_members"] and s["path_hints"] == ["src/a/b.py"] and "parse_row" in s["identifiers"]
+    s = lexical.signals("see `parse_row` and Flow.validate")
+    assert s["explicit"] and s["owner_members"] == [("flow", "validate")] and s["path_hints"] == [] and s["identifiers"] == ["parse_row", "Flow.validate"]
     assert not lexical.signals("how are errors handled")["explicit"] and lexical.lexical_query("plain words") == "plain words"
     syn = lexical.overlay([("auth", ["login"]), ("db", ["sql"])], {"db": None, "net": ["http"]})
     assert lexical.expand("Login page", syn) == "login page auth" and lexical.expand("Nothing", syn) == "Nothing"
