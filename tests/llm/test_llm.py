@@ -86,6 +86,38 @@ def test_warc_salvage_and_round_trip(spark):
     assert back["5"].payload.decode() == "\u00e9\r\n\r\nWARC/1.1\r\n" and back["3"].payload_bytes == 4
 
 
+def test_damaged_archives_lose_what_was_hit_alone(spark, tmp_path):
+    pages = spark.range(300).selectExpr("id as page_id", "'u' || id as url", "repeat('text ' || id || ' ', 40) as html")
+    for kind in ("gzip", "none"):
+        path = f"file://{tmp_path}/{kind}"
+        warc_salvage.write_archives(warc_salvage.records(pages.coalesce(1)), path, compression=kind)
+        (file,) = (tmp_path / kind).glob("part-*")
+        data = bytearray(file.read_bytes())
+        whole = warc_salvage.read_archive(bytes(data))
+        assert len(whole) == 300 and all(isinstance(x, warc_salvage.Record) for x in whole)
+        hit = whole[30]
+        data[hit.offset + hit.length // 2] ^= 0x55
+        file.write_bytes(bytes(data))
+        (tmp_path / kind / f".{file.name}.crc").unlink(missing_ok=True)
+        got = warc_salvage.read_archives(spark, path).collect()
+        gaps = [r for r in got if r.kind == "gap"]
+        assert {int(r.record_id) for r in got if r.kind == "record"} == set(range(300)) - {int(hit.headers["warc-record-id"][10:-1])}
+        assert [g.offset for g in gaps] == [hit.offset] and 0 <= gaps[0].length - hit.length <= len(warc_salvage.EMPTY_MEMBER)
+
+
+def test_warc_repeated_rows_long_payloads_and_empty_tables(spark, tmp_path):
+    rows = [(1, "u", "x"), (1, "u", "x"), (1, "a", "x"), (None, None, "x"), (7, "v", "y" * 3_000_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("sha", F.lit("k"))
+    warc_salvage.write_archives(warc_salvage.records(pages), f"file://{tmp_path}/a", warc_salvage.records_per_file(pages, 1000))
+    got = warc_salvage.read_archives(spark, f"file://{tmp_path}/a").collect()
+    assert sorted((r.record_id, r.uri, r.record_type, r.refers_to) for r in got) == [("", "", "revisit", "1"), ("1", "a", "response", None), ("1", "u", "revisit", "1"), ("1", "u", "revisit", "1"), ("7", "v", "response", None)]
+    assert max(len(r.payload or b"") for r in got) == 3_000_000
+    warc_salvage.write_archives(warc_salvage.records(pages.where("url = 'u'")), f"file://{tmp_path}/b")
+    assert sorted(r.record_type for r in warc_salvage.read_archives(spark, f"file://{tmp_path}/b").collect()) == ["response", "revisit"]
+    warc_salvage.write_archives(warc_salvage.records(pages.limit(0)), f"file://{tmp_path}/c")
+    assert warc_salvage.read_archives(spark, f"file://{tmp_path}/c").count() == 0
+
+
 def test_simhash_links_equal_brute_force(spark):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(30)]
@@ -139,7 +171,7 @@ def test_similar_groups_recall_at_the_limit(spark):
 
 
 def test_similar_groups_in_long_lists(spark, monkeypatch):
-    monkeypatch.setattr(simhash_bytes, "BLOCK", 16)
+    monkeypatch.setattr("rankloom.llm.common.LIST_BLOCK", 16)
     common = prose(1, 104).split()  # 100 shingles that all share; 13 of each pair, 5 of each text: 0.74 across pairs, 0.92 within
     rows = [(2 * i + j, " ".join(common + [f"p{i}x{k}" for k in range(13)] + [f"o{i}x{j}x{k}" for k in range(5)])) for i in range(120) for j in range(2)]
     assert simhash_bytes.jaccard(rows[0][1], rows[2][1], 5) < 0.8 < simhash_bytes.jaccard(rows[0][1], rows[1][1], 5)
@@ -166,7 +198,23 @@ def test_decontamination_equals_sql(spark, edges, empty):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "x"), (3, "x")], "item_id long, text string")
     rows = {r.doc_id: r for r in decontaminate.contamination(edges, bench).collect()}
     assert rows[8].n_hit == 1 and rows[1].n_words == 0 and decontaminate.contamination(empty, bench).count() == 0
-    assert decontaminate.build_automata([(1, "a b"), (2, "c d")], 13, 1) and len(decontaminate.build_automata([(1, "a b"), (2, "c d")], 13, 1)) == 2
+    assert decontaminate.contamination(edges, bench.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_decontamination_in_parts_and_offsets(spark, edges, empty):
+    docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    key = lambda df: sorted(map(str, df.collect()))
+    whole = decontaminate.contamination(docs, bench)
+    assert key(decontaminate.contamination(docs, bench, most=2000)) == key(whole)  # several automata, one after another
+    assert decontaminate.contamination(edges, bench, most=2000).count() == len(EDGES) and decontaminate.contamination(empty, bench, most=2000).count() == 0
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    seen = 0
+    for r in whole.where("n_hit > 0").collect():
+        assert r.n_hit == sum(s.end_word - s.start_word for s in r.hit_spans)
+        for s in r.hit_spans:
+            assert decontaminate.norm_words(texts[r.doc_id][s.start : s.end]) == decontaminate.norm_words(texts[r.doc_id])[s.start_word : s.end_word]
+            seen += 1
+    assert seen > 0
 
 
 def test_mix_laws(spark, edges, empty):
@@ -194,13 +242,47 @@ def test_shards_are_even_and_whole(spark, edges, empty):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = kd_shards.shard(docs, 8).toPandas()
     size = got.groupby("shard")["size"].sum()
-    assert len(got) == docs.count() and len(size) == 8 and size.max() < 1.3 * size.mean()
+    assert len(got) == docs.count() and len(size) == 8 and size.max() < 1.02 * size.mean()
     for _, g in got.groupby("shard"):
         assert sorted(g.slot) == list(range(len(g)))
     assert (got.groupby("text_crc32")["shard"].nunique() == 1).all()
     assert kd_shards.shard(edges, 3).count() == len(EDGES) and kd_shards.shard(empty, 3).count() == 0
 
 
+def test_tree_splits_like_a_plain_one(spark):
+    rng = np.random.default_rng(7)
+    x = rng.random((400, 3)) * [1, 0.6, 0.3]
+    w = rng.integers(1, 50, 400)
+    df = spark.createDataFrame([(i, int(w[i]), *map(float, x[i])) for i in range(400)], "g long, w long, x0 double, x1 double, x2 double")
+    got = {}
+    for r in kd_shards._tree(df, [1.0] * 5).collect():
+        got.setdefault(r.node, set()).add(r.g)
+
+    def split(rows, leaves):
+        if len(leaves) == 1:
+            return {leaves[0]: set(map(int, rows))}
+        d = int(np.ptp(x[rows], axis=0).argmax())
+        rows = rows[np.argsort(x[rows, d])]
+        want = w[rows].sum() * (len(leaves) // 2) / len(leaves)
+        sums = np.concatenate(([0], np.cumsum(w[rows])))
+        cut = int(np.abs(sums - want).argmin())
+        return split(rows[:cut], leaves[: len(leaves) // 2]) | split(rows[cut:], leaves[len(leaves) // 2 :])
+
+    assert got == split(np.arange(400), list(range(5)))
+
+
+def test_leaves_are_evened():
+    moves = kd_shards.evened([100.0, 40.0, 70.0], [(1, 30.0, 0), (2, 5.0, 0), (3, 65.0, 0), (4, 40.0, 1), (5, 70.0, 2)], 70.0)
+    assert moves == {1: 1}
+    assert kd_shards.evened([90.0, 70.0], [(1, 90.0, 0), (2, 70.0, 1)], 80.0) == {} and kd_shards.evened([], [], 1.0) == {}
+    rng = np.random.default_rng(3)
+    items = [(i, float(rng.integers(3, 60)), int(rng.integers(8))) for i in range(120)]
+    load = [sum(w for _, w, s in items if s == k) for k in range(8)]
+    at = kd_shards.evened(load, items, sum(load) / 8)
+    after = [sum(w for i, w, s in items if at.get(i, s) == k) for k in range(8)]
+    assert sum(after) == sum(load) and max(after) - min(after) <= 2 and len(at) < 100
+
+
 def test_near_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(1)
     base = rng.standard_normal((40, 16))
@@ -292,6 +374,32 @@ def test_passages_are_extended_across_edits(spark):
     assert rows[1].component_id == 0 and [(c.start, c.end) for c in rows[1].cuts] == [(50, 110)]
 
 
+def test_fuzzy_passages_are_found(spark):
+    """Passages of 45, 60 and 100 words with the share of words replaced, 60 each, in random contexts; their first and last word stay."""
+    rng, docs, planted = random.Random(8), [], {}
+    word = lambda: f"w{rng.randrange(200000)}"
+    for n in (45, 60, 100):
+        for identity in (0.82, 0.85, 0.9, 0.95):
+            for _ in range(60):
+                p = [word() for _ in range(n)]
+                edited = set(rng.sample(range(1, n - 1), int(n * (1 - identity))))
+                i = len(docs)
+                for text in (p, [word() if k in edited else x for k, x in enumerate(p)]):
+                    docs.append((len(docs), " ".join([word() for _ in range(80)] + text + [word() for _ in range(80)])))
+                planted.setdefault((n, identity), []).append(i + 1)
+    got = {r.doc_id: r for r in chain_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    found = {k: np.mean([got[i].component_id == i - 1 and 0.65 * k[0] <= got[i].cut_words <= k[0] + 8 for i in ids]) for k, ids in planted.items()}
+    assert min(found.values()) >= 0.9, found
+
+
+def test_long_lists_of_a_seed_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(chain_dedup, "LIST_PART", 8)
+    passage = prose(1, 60)
+    docs = [(i, f"{prose(1000 + i, 30)} {passage} {prose(2000 + i, 30)}") for i in range(60)]
+    got = chain_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0} and all((r.cut_words >= 60) == (r.doc_id > 0) and r.repeat_words >= 60 for r in got)
+
+
 def test_chain_prefers_order_over_crossing():
     best = chain_dedup.chains([(0, 0, 20), (25, 24, 20), (10, 90, 6), (50, 48, 20)], 10)
     assert best[0] == [(0, 0, 20), (25, 24, 20), (50, 48, 20)]
