@@ -6,18 +6,26 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+#: A long list's members are dealt in blocks of about so many.
+LIST_BLOCK = 512
+#: Most bits of a bit set of shingles.
+MOST_BITS = 1 << 18
 #: Every character that separates words in these operators: space and ASCII 9 to 13.
 SPACE = "\\x20\\x09-\\x0D"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share, spark.checkpoint.dir. Where that is unset, one of our own if the whole of Spark
+    runs on this machine, and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = getattr(spark, "_rankloom_dir", None) or "file://" + tempfile.mkdtemp(prefix="rankloom-")
         spark._rankloom_dir = base
     return base.rstrip("/")
@@ -36,10 +44,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Bytes of an Arrow batch in staged writes: batches of pairs of long texts are several copies of this in an executor.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts the lineage and survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
+    path, conf = new_path(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(_BATCH, None)
+    conf.set(_BATCH, BATCH_BYTES)
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        conf.set(_BATCH, before) if before is not None else conf.unset(_BATCH)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
@@ -87,11 +105,94 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return out
 
 
+def grown(links: DataFrame, comp: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """links and their components with more (staged links) added; without more, as they were."""
+    if not more.limit(1).count():
+        return links, comp
+    links = links.union(more)
+    return links, components(links)
+
+
 def posting_lists(postings: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of lists that have two rows or more, with the list's length as n; written once."""
     return staged(postings.withColumn("n", F.count("*").over(W.partitionBy(*keys))).where("n > 1"), "postings")
 
 
+def bits_of(h: np.ndarray) -> np.ndarray:
+    """A set of hashes as a bit set of eight bits a hash or more, a power of two from 512 to MOST_BITS, as bytes.
+
+    Each bit in which two sets of one length differ is a hash that one of them has alone, so the differing bits never exceed the
+    difference of the sets. A longer bit set folded by OR is the shorter one of the same hashes.
+    """
+    n = min(MOST_BITS, max(512, 1 << int(8 * max(1, len(h)) - 1).bit_length()))
+    out = np.zeros(n, np.uint8)
+    out[(h & np.uint64(n - 1)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little")
+
+
+def _folded(rows: list[bytes], size: int) -> np.ndarray:
+    """Bit sets of a size in bytes or twice that as a matrix of longs of that size."""
+    m = np.stack([np.frombuffer(r, np.uint64) for r in rows])
+    return m if m.shape[1] * 8 == size else m[:, : size // 8] | m[:, size // 8 :]
+
+
+def near_in_block(x: pd.DataFrame, y: pd.DataFrame, similarity: float, best: bool) -> list[tuple[int, int]]:
+    """Pairs of x and y (node, component, size, bits) of unequal components that the bit sets allow to be so similar.
+
+    best: only the nearest such y of each x.
+    """
+    out: list[tuple[int, int]] = []
+    if not len(x) or not len(y):
+        return out
+    share = (1 - similarity) / (1 + similarity)
+    long_x, long_y = x["bits"].str.len().to_numpy(), y["bits"].str.len().to_numpy()
+    ny, cy, ky = y["node"].to_numpy(), y["component"].to_numpy(), y["size"].to_numpy()
+    for size in np.unique(long_x):
+        xs = np.flatnonzero(long_x == size)
+        found: dict[int, tuple[float, int]] = {}
+        for other in {int(size) // 2, int(size), 2 * int(size)}:
+            ys, low = np.flatnonzero(long_y == other), min(int(size), other)
+            if not len(ys):
+                continue
+            my, mx = _folded([y["bits"].iat[i] for i in ys], low), _folded([x["bits"].iat[i] for i in xs], low)
+            for row, i in zip(mx, xs, strict=True):
+                both = ky[ys] + int(x["size"].iat[i])
+                apart = np.bitwise_count(my ^ row).sum(axis=1, dtype=np.int64) / np.maximum(1, both)
+                ok = (apart <= share + 1e-9) & (cy[ys] != x["component"].iat[i])
+                if not ok.any():
+                    continue
+                node = int(x["node"].iat[i])
+                if best:
+                    k = int(np.where(ok, apart, np.inf).argmin())
+                    found[i] = min(found.get(i, (np.inf, 0)), (float(apart[k]), int(ny[ys[k]])))
+                else:
+                    out += [(node, int(z)) for z in ny[ys[ok]]]
+        out += [(int(x["node"].iat[i]), z) for i, (_, z) in found.items()]
+    return out
+
+
+def near_in_lists(lists: DataFrame, similarity: float, best: bool) -> DataFrame:
+    """(a, b) of unequal components in long lists (slot, key, node, component, size, bits) whose bit sets allow a link.
+
+    The members of a list's largest component are linked already, so only the others are held against the whole list, in blocks
+    that meet in one task each: only the pairs found become rows.
+    """
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(near_in_block(pdf[pdf["asks"]], pdf[~pdf["asks"]], similarity, best), columns=["a", "b"]).astype("int64")
+
+    of = lists.groupBy("slot", "key", "component").agg(F.count("*").alias("n"))
+    of = of.groupBy("slot", "key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top")).select("slot", "key", "n", F.col("top.component").alias("major"), (F.col("n") - F.col("top.n")).alias("rest"))
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / LIST_BLOCK)).cast("int")
+    at = lambda c: F.pmod(F.xxhash64(F.lit(5), "node"), blocks(c)).cast("int")
+    all_ = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
+    told = lists.drop("n").join(of, ["slot", "key"])
+    asks = told.where("component <> major").select("slot", "key", at("rest").alias("bx"), all_("n").alias("by"), F.lit(True).alias("asks"), "node", "component", "size", "bits")
+    held = told.select("slot", "key", all_("rest").alias("bx"), at("n").alias("by"), F.lit(False).alias("asks"), "node", "component", "size", "bits")
+    found = asks.union(held).groupBy("slot", "key", "bx", "by").applyInPandas(block, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser over unsigned 64-bit values."""
     h = h.astype(np.uint64, copy=True)
