@@ -13,13 +13,12 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mixed, posting_lists, staged
+from .common import bits_of, components, grown, mixed, near_in_lists, posting_lists, staged
 
 SEED = 42
 _BITS = np.array([[v >> b & 1 for b in range(8)] for v in range(256)], np.int64)
@@ -149,8 +148,6 @@ def near_groups(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame
 
 #: Minima of a band; share of pairs at the least similarity that the bands may miss.
 BAND, MISS = 4, 1e-5
-#: A long list's members are dealt in blocks of about so many.
-BLOCK = 512
 _ODD = np.random.default_rng(20).integers(0, 1 << 64, 4096, np.uint64) | np.uint64(1)
 
 
@@ -240,30 +237,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> D
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _within(lists: DataFrame, bands: int, least: int) -> DataFrame:
-    """(a, b) of unequal components in long lists (slot, key, n, node, component, sketch) whose sketches agree in least places.
+def _bits(texts: DataFrame, words: int) -> DataFrame:
+    """(node, size, bits) of (node, text): the number of distinct shingles and their bit set."""
 
-    Every two blocks of a list meet in one task, so only the pairs found become rows. A pair is given by the first band it shares.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                hs = [np.unique(shingle_hashes(t.as_py(), words)) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(h) for h in hs], pa.int32()), pa.array([bits_of(h).tobytes() for h in hs], pa.binary())], names=["node", "size", "bits"])
 
-    def block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        slot, _, lo, hi = key
-        x, y = pdf[pdf["own"] == lo], pdf[pdf["own"] == hi]
-        out = []
-        if len(x) and len(y):
-            sy = np.frombuffer(b"".join(y["sketch"]), np.uint8).reshape(len(y), -1)
-            ny, cy = y["node"].to_numpy(), y["component"].to_numpy()
-            for node, c, s in zip(x["node"], x["component"], x["sketch"], strict=True):
-                same = sy == np.frombuffer(s, np.uint8)
-                ok = (same.sum(axis=1) >= least) & (cy != c) & (same.reshape(len(y), bands, BAND).all(axis=2).argmax(axis=1) == slot)
-                out += [(node, z) for z in ny[ok & (ny > node) if lo == hi else ok]]
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = lists.withColumn("own", F.pmod(F.xxhash64(F.lit(5), "node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-    found = dealt.select("slot", "key", "lo", "hi", "own", "node", "component", "sketch").groupBy("slot", "key", "lo", "hi").applyInPandas(block, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return texts.select("node", "text").mapInArrow(run, "node long, size int, bits binary")
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, list_limit: int = 48) -> DataFrame:
@@ -272,9 +256,10 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, lis
     Texts with equal sets are one class. Lists are keyed by bands of four minima over the distinct shingles, as many bands as
     leave MISS of the pairs at the least similarity without a shared list; a byte of each minimum rules out pairs far below it.
     Each class is first compared with the class of most documents in its lists, and only links verified on the texts settle
-    anything: then all pairs of a list that these links leave in different components are compared, lists of more than
-    list_limit classes in blocks. Null, empty and blank texts are equal to each other and to nothing else. Links are exact;
-    recall is statistical (in the README).
+    anything: then all pairs of a list that these links leave in different components are compared. In lists of more than
+    list_limit classes bit sets of the shingles, which never rule out a link, are compared in blocks first; each class meets the
+    nearest other that they allow, and only then all that are left in different components. Null, empty and blank texts are equal
+    to each other and to nothing else. Links are exact; recall is statistical (in the README).
     """
     bands = band_count(similarity)
     least = least_equal(similarity, bands * BAND)
@@ -286,15 +271,25 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, lis
     hub = lists.groupBy("slot", "key").agg(F.min(F.struct(-F.col("weight"), "node")).alias("h")).select("slot", "key", F.col("h.node").alias("h"))
     first = lists.join(hub, ["slot", "key"]).where("node <> h").select(F.least("node", "h").alias("a"), F.greatest("node", "h").alias("b")).distinct()
     links = staged(_verified(staged(_alike(first, classes, least), "first"), texts, words, similarity), "verified")
-    named = lists.join(components(links), "node", "left").select("slot", "key", "n", "node", F.coalesce("component", "node").alias("component"))
-    open_ = named.groupBy("slot", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("slot", "key")
-    open_ = staged(named.where("n > 2").join(open_, ["slot", "key"], "left_semi"), "open")
-    short, long_ = open_.where(F.col("n") <= list_limit), open_.where(F.col("n") > list_limit)
+
+    def still_open(comp: DataFrame) -> DataFrame:
+        named = lists.where("n > 2").join(comp, "node", "left").select("slot", "key", "n", "node", F.coalesce("component", "node").alias("component"))
+        ends = named.groupBy("slot", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("slot", "key")
+        return staged(named.join(ends, ["slot", "key"], "left_semi"), "open")
+
+    comp = components(links)
+    open_ = still_open(comp)
+    short = open_.where(F.col("n") <= list_limit)
     side = lambda n: short.select("slot", "key", F.col("node").alias(n), F.col("component").alias(f"c{n}"))
-    pairs = _alike(side("a").join(side("b"), ["slot", "key"]).where("a < b and ca <> cb").select("a", "b").distinct(), classes, least)
-    pairs = pairs.union(_within(long_.join(classes.select("node", "sketch"), "node"), bands, least)).distinct()
-    rest = staged(pairs.join(first, ["a", "b"], "left_anti"), "rest")
-    comp = components(links.union(_verified(rest, texts, words, similarity)))
+    few = _alike(side("a").join(side("b"), ["slot", "key"]).where("a < b and ca <> cb").select("a", "b").distinct(), classes, least)
+    long_ = open_.where(F.col("n") > list_limit)
+    bits = staged(_bits(texts.join(long_.select("node").distinct(), "node", "left_semi"), words), "bits")
+    near = near_in_lists(long_.join(bits, "node"), similarity, best=True)
+    rest = staged(few.union(near).distinct().join(first, ["a", "b"], "left_anti"), "rest")
+    links, comp = grown(links, comp, staged(_verified(rest, texts, words, similarity), "links"))
+    last = near_in_lists(still_open(comp).where(F.col("n") > list_limit).join(bits, "node"), similarity, best=False)
+    last = staged(last.join(first.union(rest), ["a", "b"], "left_anti"), "last")
+    _, comp = grown(links, comp, staged(_verified(last, texts, words, similarity), "last_links"))
     label = classes.join(comp, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     label = staged(label, "labels")
     label = label.join(label.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("node", "component_id")
