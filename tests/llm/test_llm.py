@@ -438,6 +438,73 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.near_duplicates(spark, dup, SF).count() == corpus_pipeline.near_duplicates(spark, docs, SF).count()
 
 
+def shingle_set(text, k=5):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def test_pipeline_stages_equal_brute_force(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    # near duplicates: every pair compared, components by repeated minima
+    sets, root = {i: shingle_set(r.text) for i, r in rows.items()}, {i: i for i in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in rows:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    near = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+    assert links and sorted(r.doc_id for r in near) == sorted(i for i in root if root[i] == i)
+    # decontamination: windows of 13 words as plain strings
+    bench = [decontaminate.norm_words(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    windows = {tuple(w[i : i + 13]) for w in bench for i in range(max(1, len(w) - 12)) if w}
+
+    def clean(text):
+        w = decontaminate.norm_words(text)
+        hit = [False] * len(w)
+        for n in {len(x) for x in windows}:
+            for i in range(len(w) - n + 1):
+                if tuple(w[i : i + n]) in windows:
+                    hit[i : i + n] = [True] * n
+        run = max((len(x) for x in "".join("x" if h else " " for h in hit).split()), default=0)
+        return run < 13 and not (any(hit) and 20 * sum(hit) >= len(w))
+
+    got = {r.doc_id for r in corpus_pipeline.decontamination(spark, docs, SF).select("doc_id").collect()}
+    assert got == {i for i, r in rows.items() if clean(r.text)} and len(got) < len(rows)
+    # toxicity: scores by the model on the driver against the threshold of the language
+    model = toxic_cnn.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    score = dict(zip(rows, toxic_cnn.score_ids(model, [toxic_cnn.word_ids(r.text) for r in rows.values()]), strict=True))
+    left = {r.doc_id for r in corpus_pipeline.toxicity(spark, docs, SF).select("doc_id").collect()}
+    unsure = {i for i, r in rows.items() if abs(score[i] - model.thresholds.get(r.lang, model.thresholds.get(None, 0.5))) < 1e-5}
+    assert left - unsure == {i for i, r in rows.items() if score[i] < model.thresholds.get(r.lang, model.thresholds.get(None, 0.5))} - unsure
+    # mixture: each row as often as its words were taken
+    taken = {r.doc_id: r.taken // max(r["size"], 1) for r in budget_mix.mix(docs).collect()}
+    mixed = [r.doc_id for r in corpus_pipeline.mixture(spark, docs, SF).select("doc_id").collect()]
+    assert all(mixed.count(i) == n for i, n in taken.items() if len((rows[i].text or "").split()))
+    # sharding: every row once, slots without gaps, shards of near equal bytes but for a group larger than one
+    out = corpus_pipeline.sharding(spark, docs, SF).toPandas()
+    assert sorted(out.doc_id) == sorted(rows) and all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard"))
+    assert dict(zip(out.doc_id, out["size"], strict=True)) == {i: len((r.text or "").encode()) + 16 for i, r in rows.items()}
+
+
+def test_pipeline_stages_at_the_edges(spark, edges):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, edges, SF).collect()
+        ids = {r.doc_id for r in out}
+        assert 8 in ids or name == "mixture", name
+        if name == "toxicity":
+            assert len(out) <= len(EDGES)
+        if name == "near_duplicates":
+            assert ids == {1, 4, 5, 8, 9, None} and len(out) == 6
+        if name == "decontamination":
+            assert len(out) == len(EDGES)
+        if name == "sharding":
+            assert len(out) == len(EDGES)
+
+
 def test_pipeline_tells_rows_without_id_apart(spark):
     import corpus_pipeline
 
