@@ -302,3 +302,11 @@ def best_positions(found: DataFrame) -> DataFrame:
 def stop_indexing(spark: SparkSession, tag: str) -> list[str]:
     """Ends the jobs that run under a tag (spark.addTag); the index stays as it was."""
     return list(spark.interruptTag(tag))
+
+
+def progress(spark: SparkSession, group: str) -> dict:
+    """How far the jobs of a group (sparkContext.setJobGroup) are: jobs, running jobs, tasks and finished tasks of their stages."""
+    tracker = spark.sparkContext.statusTracker()
+    jobs = [j for j in map(tracker.getJobInfo, tracker.getJobIdsForGroup(group)) if j]
+    stages = [s for j in jobs for s in map(tracker.getStageInfo, j.stageIds) if s]
+    return {"jobs": len(jobs), "running": sum(j.status == "RUNNING" for j in jobs), "tasks": sum(s.numTasks for s in stages), "done": sum(s.numCompletedTasks for s in stages)}

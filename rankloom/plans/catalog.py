@@ -128,7 +128,7 @@ _SYN = [("and", ["und", "et"]), ("the", ["der", "le"])]
 
 
 @query("""with t as (select item_id, text, string_split(lower(text), ' ') as ts from benchmark),
-w as (select item_id, t, i, case when t in ('and', 'und', 'et') then ['and', 'und', 'et'] when t in ('the', 'der', 'le') or (ends_with(t, 's') and false) then ['the', 'der', 'le'] else [] end as syns from t, unnest(ts) with ordinality as u(t, i)),
+w as (select item_id, t, i, case when t in ('and', 'ands', 'anded', 'anding', 'andtion', 'und', 'et') then ['and', 'und', 'et'] when t in ('the', 'thes', 'theed', 'theing', 'thetion', 'der', 'le') then ['the', 'der', 'le'] else [] end as syns from t, unnest(ts) with ordinality as u(t, i)),
 x as (select item_id, s, min(i * 10 + k) as place from w, unnest(syns) with ordinality as v(s, k) group by item_id, s),
 m as (select x.item_id, string_agg(s, ' ' order by place) as extra from x join t using (item_id) where not list_contains(ts, s) group by x.item_id)
 select item_id, case when extra is null then text else array_to_string(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda y: y <> ''), ' ') || ' ' || extra end as expanded from t left join m using (item_id)""")
