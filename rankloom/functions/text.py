@@ -132,6 +132,9 @@ def path_boost(path: Column, tokens: Column) -> Column:
     return F.lit(1.0) + F.size(F.array_intersect(F.array_distinct(name_tokens(parts)), F.array_distinct(tokens))) * F.lit(0.05)
 
 
+# Fixed values in the next three functions: words that ask for tests or documentation, and paths that are tests or documentation.
+
+
 def asks_tests(query: Column) -> Column:
     """Whether the query's first line asks for tests."""
     return F.coalesce(F.regexp_extract(query, r"^([^\r\n]*)", 1), F.lit("")).rlike(r"(?i)\b(?:test|tests|testing|spec|specs)\b")

@@ -258,6 +258,7 @@ def overlay(base: list[tuple[str, list[str]]], changes: dict[str, list[str] | No
 # Words that are no lexical terms, and the suffixes that tell a file's name from owner.member.
 STOP_WORDS = frozenset("about after again against been before being below bug cannot could current default does from have here into least more not only security should shown summary than that the their then there these this through when where which with would".split())
 FILE_SUFFIXES = frozenset("c cc cpp go h hpp java js json jsx md py rb rs toml ts tsx yaml yml".split())
+# What counts as a token, as a span between single back ticks, as a link to a file of a pinned revision.
 _TOKEN = re.compile(r"[A-Za-z_][A-Za-z0-9_.-]*")
 _TICKED = re.compile(r"(?<!`)`([^`\n]+)`(?!`)")
 _PINNED = re.compile(r"https://github\.com/[^\s)]+/blob/[0-9a-f]{40}/([^#\s)]+)", re.IGNORECASE)
