@@ -266,7 +266,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, lis
     fps = staged(sets(docs, words, bands), "sets")
     classes = staged(fps.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.min("text_hash").alias("text_hash"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "classes")
     lists = posting_lists(classes.select("node", "weight", F.posexplode("keys").alias("slot", "key")), ["slot", "key"])
-    ids = lists.select("node").distinct().join(classes.select("node", "text_hash"), "node")
+    ids = staged(lists.select("node").distinct().join(classes.select("node", "text_hash"), "node"), "ids")
     texts = docs.select(F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text")).join(ids, "text_hash").dropDuplicates(["node"]).select("node", "text")
     hub = lists.groupBy("slot", "key").agg(F.min(F.struct(-F.col("weight"), "node")).alias("h")).select("slot", "key", F.col("h.node").alias("h"))
     first = lists.join(hub, ["slot", "key"]).where("node <> h").select(F.least("node", "h").alias("a"), F.greatest("node", "h").alias("b")).distinct()
@@ -284,10 +284,10 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, lis
     few = _alike(side("a").join(side("b"), ["slot", "key"]).where("a < b and ca <> cb").select("a", "b").distinct(), classes, least)
     long_ = open_.where(F.col("n") > list_limit)
     bits = staged(_bits(texts.join(long_.select("node").distinct(), "node", "left_semi"), words), "bits")
-    near = near_in_lists(long_.join(bits, "node"), similarity, best=True)
+    near = near_in_lists(long_, bits, similarity, best=True)
     rest = staged(few.union(near).distinct().join(first, ["a", "b"], "left_anti"), "rest")
     links, comp = grown(links, comp, staged(_verified(rest, texts, words, similarity), "links"))
-    last = near_in_lists(still_open(comp).where(F.col("n") > list_limit).join(bits, "node"), similarity, best=False)
+    last = near_in_lists(still_open(comp).where(F.col("n") > list_limit), bits, similarity, best=False)
     last = staged(last.join(first.union(rest), ["a", "b"], "left_anti"), "last")
     _, comp = grown(links, comp, staged(_verified(last, texts, words, similarity), "last_links"))
     label = classes.join(comp, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))

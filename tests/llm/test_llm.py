@@ -180,6 +180,14 @@ def test_similar_groups_in_long_lists(spark, monkeypatch):
         assert dict(simhash_bytes.similar_groups(df, list_limit=limit).collect()) == {i: i - i % 2 for i in range(240)}
 
 
+def test_bit_sets_are_joined_once(spark):
+    lists = spark.createDataFrame([(0, 1, i, i // 2) for i in range(6)], "slot int, key long, node long, component long")
+    bits = spark.createDataFrame([(i, 3, bytearray(common.bits_of(np.array([1, 2, 3 + i // 3], np.uint64)).tobytes())) for i in range(6)], "node long, size int, bits binary")
+    near = common.near_in_lists(lists, bits, 0.8, best=False)
+    assert near._jdf.queryExecution().optimizedPlan().toString().count("Join Inner, (node") == 1
+    assert sorted(map(tuple, near.collect())) == [(0, 2), (1, 2), (3, 4), (3, 5)]
+
+
 def test_similar_groups_compare_sets(spark):
     line = " ".join(f"l{k}" for k in range(9))
     words = " ".join(f"a{k}" for k in range(100))
