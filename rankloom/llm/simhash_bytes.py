@@ -3,13 +3,15 @@
 Two fingerprints of B bytes that differ in d bits agree in at least B - d positional bytes. Posting lists are keyed by groups of
 positional bytes (single-byte lists would hold 1/256 of all rows each); the shared bytes of a pair are then tallied, pairs that
 reach the minimum are kept, and the rest is verified by differing bits. The pipeline's stage, exact similarity of the texts'
-shingle sets, takes its lists from minima over the sets instead: no choice of bytes is both selective and complete at 0.8.
+shingle sets, does the same with longer fingerprints of the sets. There no choice of bytes is both selective and complete at 0.8,
+so lists of minima over the sets come beside them for the pairs that the bytes leave out.
 """
 
 from __future__ import annotations
 
 import functools
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -148,6 +150,11 @@ def near_groups(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame
 
 #: Minima of a band; share of pairs at the least similarity that the bands may miss.
 BAND, MISS = 4, 1e-5
+#: 64-bit lanes of a set's fingerprint; bytes of a group, and groups of its positional bytes that key lists, each byte in two.
+LANES, GROUP, GROUPS = 8, 4, 32
+#: Share of pairs at the least similarity that the count of shared bytes may rule out.
+UNCOUNTED = 1e-4
+_LANE = np.arange(LANES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.random.default_rng(20).integers(0, 1 << 64, 4096, np.uint64) | np.uint64(1)
 
 
@@ -163,6 +170,53 @@ def least_equal(similarity: float, n: int) -> int:
     return int(n * similarity - 5 * np.sqrt(n * similarity * (1 - similarity)))
 
 
+@functools.cache
+def byte_groups() -> np.ndarray:
+    """GROUPS groups of GROUP of the 8 * LANES byte positions, dealt twice in different orders."""
+    rng, per = np.random.default_rng(9), GROUPS * GROUP // (8 * LANES)
+    at = np.concatenate([rng.permutation(8 * LANES) for _ in range(per)])
+    return at.reshape(GROUPS, GROUP)
+
+
+def set_fingerprint(h: np.ndarray) -> np.ndarray:
+    """fingerprint(h, LANES) as an array, all lanes at once."""
+    ones = np.zeros(64 * LANES, np.int64)
+    for at in range(0, len(h), 4096):
+        x = mixed(h[at : at + 4096, None] + _LANE)
+        x[:, 0] = h[at : at + 4096]
+        v = np.unpackbits(x.view(np.uint8), axis=1, bitorder="little")
+        for i in range(0, len(v), 255):  # sums of 255 bits fit a byte
+            ones += np.add.reduce(v[i : i + 255], axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(h), bitorder="little").view(np.int64)
+
+
+def byte_keys(fp: np.ndarray) -> list[int]:
+    """One long per group of positional bytes of a fingerprint."""
+    b = fp.view(np.uint8)[byte_groups()].astype(np.int64)
+    return (b << (8 * np.arange(GROUP))).sum(axis=1).tolist()
+
+
+def bit_apart(similarity: float) -> float:
+    """Share of the bits in which fingerprints of sets of one size at this similarity differ on average."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def least_shared(similarity: float) -> int:
+    """Positional bytes that fingerprints at this similarity share but for a share UNCOUNTED of pairs."""
+    n, p = 8 * LANES, (1 - bit_apart(similarity)) ** 8
+    below, k = (1 - p) ** n, 0
+    while below <= UNCOUNTED:
+        k += 1
+        below += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+    return k
+
+
+def most_apart(similarity: float) -> int:
+    """Bits in which fingerprints at this similarity differ at most, five deviations allowed."""
+    n, p = 64 * LANES, bit_apart(similarity)
+    return int(n * p + 5 * np.sqrt(n * p * (1 - p)))
+
+
 def minima(h: np.ndarray, n: int) -> np.ndarray:
     """The smallest of the hashes under each of n multiplications; repeated hashes count once by nature."""
     out = np.full(n, np.iinfo(np.uint64).max, np.uint64)
@@ -180,25 +234,27 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 
 def sets(docs: DataFrame, words: int, bands: int) -> DataFrame:
-    """(doc_id, text_hash, node, keys, sketch): node is a hash of the text's set of shingles, sketch a byte of each minimum.
-
-    Texts without a word have no keys.
+    """(doc_id, text_hash, node, keys, bytes, sketch, fp): node is a hash of the text's set of shingles, keys its bands, fp its
+    fingerprint of LANES lanes, bytes the keys of that, sketch a byte of each minimum. Texts without a word have no keys.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
-                part, nodes, keys, sketch = b.slice(at, 512), [], [], []
+                part, nodes, keys, parts, sketch, fps = b.slice(at, 512), [], [], [], [], []
                 for t in part.column(2):
                     h = np.unique(shingle_hashes(t.as_py(), words))
                     m = minima(h, bands * BAND)
                     nodes.append(int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).astype(np.int64)))
                     keys.append(band_keys(m) if len(h) else [])
+                    fp = set_fingerprint(h)
+                    parts.append(byte_keys(fp) if len(h) else [])
+                    fps.append(fp.tobytes())
                     sketch.append((m & np.uint64(255)).astype(np.uint8).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "text_hash", "node", "keys", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int64())), pa.array(sketch, pa.binary()), pa.array(fps, pa.binary())], names=["doc_id", "text_hash", "node", "keys", "bytes", "sketch", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, keys array<long>, sketch binary")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, keys array<long>, bytes array<long>, sketch binary, fp binary")
 
 
 def jaccard(a: str | None, b: str | None, words: int) -> float:
@@ -224,6 +280,23 @@ def _alike(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _counted(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) whose fingerprints share enough positional bytes, and then differ in few enough bits, to be so similar."""
+    shared, apart = least_shared(similarity), most_apart(similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in b.columns[2:])
+                ok = (x == y).sum(axis=1) >= shared
+                ok[ok] = np.bitwise_count(x[ok] ^ y[ok]).sum(axis=1, dtype=np.int64) <= apart
+                b = b.filter(pa.array(ok))
+            yield b.select(["a", "b"])
+
+    side = lambda n: classes.select(F.col("node").alias(n), F.col("fp").alias(f"f{n}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "fa", "fb").mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
     """Pairs (a, b) whose texts' shingle sets have a Jaccard similarity of least or more."""
 
@@ -253,24 +326,35 @@ def _bits(texts: DataFrame, words: int) -> DataFrame:
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, list_limit: int = 48) -> DataFrame:
     """(doc_id, component_id) by links of texts whose sets of so many-word shingles have a Jaccard similarity of 0.8 or more.
 
-    Texts with equal sets are one class. Lists are keyed by bands of four minima over the distinct shingles, as many bands as
-    leave MISS of the pairs at the least similarity without a shared list; a byte of each minimum rules out pairs far below it.
+    Texts with equal sets are one class. Fingerprints of the sets are indexed by groups of their positional bytes; pairs that share
+    a group are kept if they share enough bytes in all, then if few enough bits differ. That finds most links of close copies and
+    fewer the less alike they are, so further lists are keyed by bands of four minima over the distinct shingles, as many bands as
+    leave MISS of the pairs at the least similarity without a shared list: whatever the bytes leave out comes by them. A byte of
+    each minimum rules out pairs far below the similarity.
     Each class is first compared with the class of most documents in its lists, and only links verified on the texts settle
-    anything: then all pairs of a list that these links leave in different components are compared. In lists of more than
-    list_limit classes bit sets of the shingles, which never rule out a link, are compared in blocks first; each class meets the
-    nearest other that they allow, and only then all that are left in different components. Null, empty and blank texts are equal
-    to each other and to nothing else. Links are exact; recall is statistical (in the README).
+    anything: then all pairs of a list that these links leave in different components are compared. In the bands' lists of more
+    than list_limit classes bit sets of the shingles, which never rule out a link, are compared in blocks first; each class meets
+    the nearest other that they allow, and only then all that are left in different components; the pairs of longer lists of bytes
+    are left to the bands. Null, empty and blank texts are equal to each other and to nothing else. Links are exact; recall is
+    statistical (in the README).
     """
     bands = band_count(similarity)
     least = least_equal(similarity, bands * BAND)
     fps = staged(sets(docs, words, bands), "sets")
-    classes = staged(fps.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.min("text_hash").alias("text_hash"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "classes")
-    lists = posting_lists(classes.select("node", "weight", F.posexplode("keys").alias("slot", "key")), ["slot", "key"])
+    classes = staged(fps.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), *[F.first(c).alias(c) for c in ("keys", "bytes", "sketch", "fp")], F.min("text_hash").alias("text_hash")), "classes")
+    slots = F.concat("bytes", "keys")  # slots below GROUPS are bytes, the others bands
+    lists = posting_lists(classes.select("node", "weight", F.posexplode(slots).alias("slot", "key")), ["slot", "key"])
     ids = staged(lists.select("node").distinct().join(classes.select("node", "text_hash"), "node"), "ids")
     texts = docs.select(F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text")).join(ids, "text_hash").dropDuplicates(["node"]).select("node", "text")
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Of pairs (slot, a, b) those that their counts allow."""
+        near = _counted(pairs.where(F.col("slot") < GROUPS).select("a", "b").distinct(), classes, similarity)
+        return _alike(near.union(pairs.where(F.col("slot") >= GROUPS).select("a", "b")).distinct(), classes, least)
+
     hub = lists.groupBy("slot", "key").agg(F.min(F.struct(-F.col("weight"), "node")).alias("h")).select("slot", "key", F.col("h.node").alias("h"))
-    first = lists.join(hub, ["slot", "key"]).where("node <> h").select(F.least("node", "h").alias("a"), F.greatest("node", "h").alias("b")).distinct()
-    links = staged(_verified(staged(_alike(first, classes, least), "first"), texts, words, similarity), "verified")
+    first = staged(likely(lists.join(hub, ["slot", "key"]).where("node <> h").select("slot", F.least("node", "h").alias("a"), F.greatest("node", "h").alias("b"))), "first")
+    links = staged(_verified(first, texts, words, similarity), "verified")
 
     def still_open(comp: DataFrame) -> DataFrame:
         named = lists.where("n > 2").join(comp, "node", "left").select("slot", "key", "n", "node", F.coalesce("component", "node").alias("component"))
@@ -281,13 +365,14 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, lis
     open_ = still_open(comp)
     short = open_.where(F.col("n") <= list_limit)
     side = lambda n: short.select("slot", "key", F.col("node").alias(n), F.col("component").alias(f"c{n}"))
-    few = _alike(side("a").join(side("b"), ["slot", "key"]).where("a < b and ca <> cb").select("a", "b").distinct(), classes, least)
-    long_ = open_.where(F.col("n") > list_limit)
+    few = likely(side("a").join(side("b"), ["slot", "key"]).where("a < b and ca <> cb").select("slot", "a", "b"))
+    longer = lambda o: o.where((F.col("n") > list_limit) & (F.col("slot") >= GROUPS))
+    long_ = longer(open_)
     bits = staged(_bits(texts.join(long_.select("node").distinct(), "node", "left_semi"), words), "bits")
     near = near_in_lists(long_, bits, similarity, best=True)
     rest = staged(few.union(near).distinct().join(first, ["a", "b"], "left_anti"), "rest")
     links, comp = grown(links, comp, staged(_verified(rest, texts, words, similarity), "links"))
-    last = near_in_lists(still_open(comp).where(F.col("n") > list_limit), bits, similarity, best=False)
+    last = near_in_lists(longer(still_open(comp)), bits, similarity, best=False)
     last = staged(last.join(first.union(rest), ["a", "b"], "left_anti"), "last")
     _, comp = grown(links, comp, staged(_verified(last, texts, words, similarity), "last_links"))
     label = classes.join(comp, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))

@@ -180,6 +180,25 @@ def test_similar_groups_in_long_lists(spark, monkeypatch):
         assert dict(simhash_bytes.similar_groups(df, list_limit=limit).collect()) == {i: i - i % 2 for i in range(240)}
 
 
+def test_similar_groups_by_bytes_alone(spark, monkeypatch):
+    """The index of positional bytes finds close copies without the bands."""
+    monkeypatch.setattr(simhash_bytes, "band_keys", lambda least: np.empty(0, np.int64))
+    rows = set_pairs(5, 60, 98, 1)
+    assert simhash_bytes.jaccard(rows[0][1], rows[1][1], 5) == 0.98
+    got = dict(simhash_bytes.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert sum(got[2 * i + 1] == 2 * i for i in range(60)) >= 54 and all(got[2 * i] == 2 * i for i in range(60))
+
+
+def test_shared_bytes_are_counted(spark):
+    h = np.random.default_rng(3).integers(0, 1 << 64, 300, np.uint64)
+    assert simhash_bytes.set_fingerprint(h).tolist() == simhash_bytes.fingerprint(h, simhash_bytes.LANES)
+    low, n = simhash_bytes.least_shared(0.8), 8 * simhash_bytes.LANES
+    fps = {0: bytes(n), 1: bytes(low) + b"\1" * (n - low), 2: bytes(low - 1) + b"\1" * (n - low + 1), 3: bytes(low) + b"\xff" * (n - low)}
+    classes = spark.createDataFrame([(i, bytearray(f)) for i, f in fps.items()], "node long, fp binary")
+    pairs = spark.createDataFrame([(0, i) for i in (1, 2, 3)], "a long, b long")
+    assert [tuple(r) for r in simhash_bytes._counted(pairs, classes, 0.8).collect()] == [(0, 1)]
+
+
 def test_bit_sets_are_joined_once(spark):
     lists = spark.createDataFrame([(0, 1, i, i // 2) for i in range(6)], "slot int, key long, node long, component long")
     bits = spark.createDataFrame([(i, 3, bytearray(common.bits_of(np.array([1, 2, 3 + i // 3], np.uint64)).tobytes())) for i in range(6)], "node long, size int, bits binary")
