@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import random
+import zlib
 
 import duckdb
 import numpy as np
@@ -446,6 +447,22 @@ def test_toxicity_held_out_accuracy(spark, edges, empty):
     assert len(toxic_cnn.fit(df.limit(0), labels.limit(0)).emb) == toxic_cnn.BUCKETS
 
 
+def test_thresholds_come_from_all_labelled_rows(spark, monkeypatch):
+    """Beyond the training sample's bounds in rows and words, too."""
+    monkeypatch.setattr(toxic_cnn, "MAX_ROWS", 20)
+    monkeypatch.setattr(toxic_cnn, "MAX_WORDS", 70)
+    rng, seen = random.Random(6), []
+    rows = [(i, prose(i, 30 + i % 60) + (" vile" + str(rng.randrange(5)) if i % 3 == 0 else ""), ["en", "de"][i % 2]) for i in range(600)]
+    calibrate = toxic_cnn.calibrate
+    monkeypatch.setattr(toxic_cnn, "calibrate", lambda s, y, langs: (seen.append(sorted(zip(y, langs, strict=True))), calibrate(s, y, langs))[1])
+    model = toxic_cnn.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(600)], "doc_id long, toxic int"))
+    tune = [i for i in range(600) if zlib.crc32(str(i).encode()) % 5 == 1]
+    assert seen == [sorted((float(i % 3 == 0), ["en", "de"][i % 2]) for i in tune)] * 2
+    scores = toxic_cnn.score_ids(model, [toxic_cnn.word_ids(rows[i][1]) for i in tune])
+    again = calibrate(scores, np.array([float(i % 3 == 0) for i in tune]), [rows[i][2] for i in tune])
+    assert again.keys() == model.thresholds.keys() and all(abs(again[k] - v) < 1e-4 for k, v in model.thresholds.items())
+
+
 def test_long_texts_score_whole():
     m = toxic_cnn.train([np.arange(1, 9, dtype=np.int32)] * 4, np.array([1, 0, 1, 0], np.float32), epochs=1)
     ids = (np.arange(3 * toxic_cnn.PIECE + 5) % 1000 + 1).astype(np.int32)
