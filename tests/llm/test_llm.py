@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -402,6 +403,19 @@ def test_passages_are_extended_across_edits(spark):
     assert rows[1].component_id == 0 and [(c.start, c.end) for c in rows[1].cuts] == [(50, 110)]
 
 
+def test_extensions_of_many_pairs_equal_single_ones():
+    rng, pairs = random.Random(12), [([], ["x"]), (["x"], []), ([], [])]
+    for _ in range(400):
+        a = [rng.choice("abcdefgh") for _ in range(rng.randrange(61))]
+        b = [w if rng.random() > 0.15 else rng.choice("abcxyz") for w in a for _ in range(rng.choice((0, 1, 1, 1, 1, 1, 2)))][:60]
+        pairs.append((a, b if rng.random() < 0.8 else b[:7]))
+    for cost in (chain_dedup.COST, chain_dedup.CHEAP, 4):
+        assert chain_dedup.extended_all(pairs, cost) == [chain_dedup.extended(a, b, cost) for a, b in pairs]
+    assert all(chain_dedup.equal_words(a, b) == sum((Counter(a) & Counter(b)).values()) for a, b in pairs)
+    assert chain_dedup.segments(np.array([5]), np.array([9])) == [(5, 9, chain_dedup.SEED)]
+    assert chain_dedup.extended_all([], 2) == [] and chain_dedup.chains([(3, 4, 6)], 1) == [[(3, 4, 6)]] and chain_dedup.chains([(3, 4, 6)], 7) == []
+
+
 def test_fuzzy_passages_are_found(spark):
     """Passages of 45, 60 and 100 words with the share of words replaced, 60 each, in random contexts; their first and last word stay."""
     rng, docs, planted = random.Random(8), [], {}
