@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -442,6 +443,55 @@ def test_long_lists_of_a_seed_are_dealt(spark, monkeypatch):
     assert {r.component_id for r in got} == {0} and all((r.cut_words >= 60) == (r.doc_id > 0) and r.repeat_words >= 60 for r in got)
 
 
+def test_halves_that_many_texts_have_hide_no_passage(spark):
+    docs = []
+    for k in range(24):
+        half, at = [prose(5000 + 2 * k, 24), prose(5001 + 2 * k, 24)], 100 * k
+        for i in range(44):
+            own = " ".join(half) if i in (20, 40) else half[i % 2]
+            docs.append((at + i, f"{prose(10000 + at + i, 40)} {own} {prose(20000 + at + i, 40)}"))
+    got = {r.doc_id: r for r in chain_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for at in range(0, 2400, 100):
+        one, two = got[at + 20], got[at + 40]
+        assert two.component_id == one.component_id and min(one.repeat_words, two.repeat_words) >= 48
+        assert any(c.start <= 40 and c.end >= 88 for c in two.cuts)
+
+
+def test_equal_runs_equal_brute_force(spark, monkeypatch):
+    """Texts of phrases that many have: every word in 40 equal words of another text counts, and is cut if that is an earlier one."""
+    monkeypatch.setattr(chain_dedup, "ALL_PAIRS", 4, raising=False)
+    rng = random.Random(3)
+    phrases = [prose(300 + i, rng.randrange(14, 34)) for i in range(9)]
+    docs = [(i, " ".join([prose(1000 + i, 9), *[rng.choice(phrases) for _ in range(rng.randrange(1, 6))], prose(2000 + i, 7)])) for i in range(90)]
+    first, texts = {}, {}
+    for i, text in docs:
+        w = text.split()
+        for k in range(len(w) - 39):
+            texts.setdefault(tuple(w[k : k + 40]), set()).add(i)
+            first.setdefault(tuple(w[k : k + 40]), i)
+    got = {r.doc_id: r for r in chain_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    inside = 0
+    for i, text in docs:
+        w = text.split()
+        at = {k: tuple(w[k : k + 40]) for k in range(len(w) - 39)}
+        shared = {x for k, g in at.items() if len(texts[g]) > 1 for x in range(k, k + 40)}
+        later = {x for k, g in at.items() if first[g] < i for x in range(k, k + 40)}
+        assert got[i].repeat_words >= len(shared) and later <= {x for c in got[i].cuts for x in range(c.start, c.end)}
+        assert all(got[i].component_id == got[j].component_id for g in at.values() for j in texts[g])
+        inside += len(shared)
+    assert inside > 1000
+
+
+def test_equal_words_of_many_windows():
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("aAbBcde\u00c9\u00e9") for _ in range(rng.randrange(60))) for _ in range(200)]
+    codes, cut = chain_dedup.word_codes(pa.array(texts))
+    n, start = np.diff(cut), cut[:-1]
+    fold = [t.translate(str.maketrans("ABCDE", "abcde")).split(" ") for t in texts]
+    assert chain_dedup.equal_counts(codes, start[:100], n[:100], start[100:], n[100:]).tolist() == [chain_dedup.equal_words(a, b) for a, b in zip(fold[:100], fold[100:], strict=True)]
+    assert chain_dedup.equal_counts(codes, start[:0], n[:0], start[:0], n[:0]).tolist() == []
+
+
 def test_chain_prefers_order_over_crossing():
     best = chain_dedup.chains([(0, 0, 20), (25, 24, 20), (10, 90, 6), (50, 48, 20)], 10)
     assert best[0] == [(0, 0, 20), (25, 24, 20), (50, 48, 20)]
