@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bits_of, components, grown, mixed, near_in_lists, posting_lists, staged
+from .common import bits_of, components, drop_staged, grown, mixed, near_in_lists, posting_lists, staged
 
 SEED = 42
 _BITS = np.array([[v >> b & 1 for b in range(8)] for v in range(256)], np.int64)
@@ -342,10 +342,13 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, lis
     least = least_equal(similarity, bands * BAND)
     fps = staged(sets(docs, words, bands), "sets")
     classes = staged(fps.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), *[F.first(c).alias(c) for c in ("keys", "bytes", "sketch", "fp")], F.min("text_hash").alias("text_hash")), "classes")
+    nodes = staged(fps.select("doc_id", "node"), "nodes")
+    drop_staged(fps)
     slots = F.concat("bytes", "keys")  # slots below GROUPS are bytes, the others bands
     lists = posting_lists(classes.select("node", "weight", F.posexplode(slots).alias("slot", "key")), ["slot", "key"])
     ids = staged(lists.select("node").distinct().join(classes.select("node", "text_hash"), "node"), "ids")
     texts = docs.select(F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text")).join(ids, "text_hash").dropDuplicates(["node"]).select("node", "text")
+    texts = staged(texts, "texts")  # every later step reads these alone, not all texts again
 
     def likely(pairs: DataFrame) -> DataFrame:
         """Of pairs (slot, a, b) those that their counts allow."""
@@ -377,5 +380,6 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, lis
     _, comp = grown(links, comp, staged(_verified(last, texts, words, similarity), "last_links"))
     label = classes.join(comp, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     label = staged(label, "labels")
+    drop_staged(classes, lists, ids, texts, first, open_, bits, rest, last)
     label = label.join(label.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("node", "component_id")
-    return fps.select("doc_id", "node").join(label, "node").select("doc_id", "component_id")
+    return nodes.join(label, "node").select("doc_id", "component_id")

@@ -210,6 +210,25 @@ def test_bit_sets_are_joined_once(spark):
     assert sorted(map(tuple, near.collect())) == [(0, 2), (1, 2), (3, 4), (3, 5)]
 
 
+def test_similar_groups_take_listed_texts_once(spark, monkeypatch):
+    """Later steps read the staged texts of the lists, never the input: its texts go through the network once, and nothing big stays."""
+    names, dropped, plain, drop = [], set(), simhash_bytes.staged, common.drop_staged
+
+    def staged(df, name):
+        source = "input_text" in df._jdf.queryExecution().optimizedPlan().toString()
+        names.append((name, source))
+        return plain(df, name)
+
+    monkeypatch.setattr(simhash_bytes, "staged", staged)
+    monkeypatch.setattr(simhash_bytes, "drop_staged", lambda *frames: (dropped.update(f._staged_path.rsplit("-", 1)[1] for f in frames), drop(*frames)), raising=False)
+    base = prose(1, 120).split()
+    rows = [(i, " ".join([*base[: 5 * i], "x", *base[5 * i + 1 :]])) for i in range(12)] + [(20, prose(2, 90)), (21, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, input_text string").select("doc_id", F.concat("input_text", F.lit(" ")).alias("text"))
+    got = {r.doc_id: r.component_id for r in simhash_bytes.similar_groups(docs).collect()}
+    assert {got[i] for i in range(12)} == {0} and (got[20], got[21]) == (20, 21)
+    assert [n for n, source in names if source] == ["sets", "texts"] and {"sets", "classes", "postings", "texts"} <= dropped
+
+
 def test_similar_groups_compare_sets(spark):
     line = " ".join(f"l{k}" for k in range(9))
     words = " ".join(f"a{k}" for k in range(100))
