@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -50,6 +51,18 @@ def test_components(spark):
     assert got == root
 
 
+def test_staged_leaves_no_shuffle_files(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in str(blocks.getAllFiles().mkString("|")).split("|") if "/shuffle_" in f}
+    before, conf = files(), {k: spark.conf.get(k, None) for k in common._WRITING}
+    out = common.staged(spark.range(5000).repartition(7).groupBy((F.col("id") % 50).alias("k")).count(), "test")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before and out.count() == 50 and conf == {k: spark.conf.get(k, None) for k in common._WRITING}
+
+
 def test_word_hashes_in_blocks(monkeypatch):
     data = prose(1, 5000).encode()
     whole = common.word_hashes(data)
