@@ -6,6 +6,7 @@ import random
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -413,6 +414,26 @@ def test_fuzzy_lines_equal_brute_force(spark):
     assert all(k == min(v) for k, v in got.items())
 
 
+def test_fuzzy_lines_free_their_steps(spark, monkeypatch):
+    half = prose(1, 14)
+    docs = spark.createDataFrame([(i, f"{half} {prose(50 + i // 2, 5)}{' x' * (i % 2)}") for i in range(60)], "doc_id long, text string")
+    want = {(r.doc_id, r.component_id) for r in line_minhash.dedup_lines(docs, list_limit=4).collect()}
+    made, lines, real = [], [], line_minhash.staged
+
+    def staged(df, name, *args, **kw):
+        made.append((name, sorted(n for n, f in lines if Path(f._staged_path.removeprefix("file://")).exists())))
+        out = real(df, name, *args, **kw)
+        lines.append((name, out))
+        return out
+
+    monkeypatch.setattr(line_minhash, "staged", staged)
+    monkeypatch.setattr(line_minhash, "ROUND_ROWS", 1)
+    assert {(r.doc_id, r.component_id) for r in line_minhash.dedup_lines(docs, list_limit=4).collect()} == want and len({c for _, c in want}) == 30
+    near = [held for name, held in made if name == "near"]
+    assert len(near) == 2 * line_minhash.ROUNDS  # each round's shuffle files go with it
+    assert near[0].count("open") == 1 and "lists" in near[0] and near[-1].count("open") == 1 and "lists" not in near[-1]
+
+
 def test_repeated_passages(spark, edges, empty):
     passage = prose(1, 70).split()
     fuzzy = [*passage[:30], "NEW", *passage[31:50], *passage[52:]]
