@@ -203,12 +203,18 @@ def embed(texts: DataFrame, name: str, batch: int = 1000, **settings) -> DataFra
 
 
 def embed_cached(texts: DataFrame, cache: EmbeddingCache, name: str, model: str = "", mode: str = "document", **settings) -> DataFrame:
-    """(id, v) of texts (id, text): distinct texts that the cache has not are embedded once and added to it."""
+    """(id, v) of texts (id, text): distinct texts that the cache has not are embedded once and added to it.
+
+    Every text gets its vector, also where there are more than the cache holds: those that it let go come from what was embedded
+    and from its version before, which stay until it is next added to.
+    """
+    have = cache.of(name, model, mode).select("key", "v")
     misses = records.cache_misses(texts.where("text is not null"), cache.read(), name, model, mode)
     if misses.limit(1).count():
-        cache.add(embed(misses, name, **settings), name, model, mode)
+        fresh = cache.stage(embed(misses, name, **settings))
+        have = have.unionByName(fresh) if cache.add(fresh, name, model, mode) else cache.of(name, model, mode).select("key", "v")
     keyed = texts.select("id", F.sha2("text", 256).alias("key"))
-    return keyed.join(cache.of(name, model, mode).select("key", "v"), "key").select("id", "v")
+    return keyed.join(have, "key").select("id", "v")
 
 
 def embed_grouped(chunks: DataFrame, client: Callable[[list[list[str]]], list[list[list[float]]]]) -> DataFrame:

@@ -83,10 +83,22 @@ class EmbeddingCache(_Versions):
     def of(self, provider: str, model: str, mode: str) -> DataFrame:
         return self.read().where((F.col("provider") == provider) & (F.col("model") == model) & (F.col("mode") == mode))
 
-    def add(self, rows: DataFrame, provider: str, model: str, mode: str) -> None:
-        """rows (key, v); a key that is there already is replaced."""
+    def stage(self, rows: DataFrame) -> DataFrame:
+        """rows written beside the versions and read back; they stay until the next but one call."""
+        made = sorted((n for n in fs.names(self.spark, self.path) if n.startswith("fresh=")), key=lambda n: int(n[6:].split("-")[0]))
+        for n in made[:-1]:
+            fs.delete(self.spark, f"{self.path}/{n}")
+        at = f"{self.path}/fresh={time.time_ns()}-{uuid.uuid4().hex}"
+        rows.write.parquet(at)
+        return self.spark.read.schema(rows.schema).parquet(at)
+
+    def add(self, rows: DataFrame, provider: str, model: str, mode: str) -> bool:
+        """rows (key, v); a key that is there already is replaced. Whether any row of the cache had to go."""
         new = rows.dropDuplicates(["key"]).select("key", F.lit(provider).alias("provider"), F.lit(model).alias("model"), F.lit(mode).alias("mode"), F.col("v").cast("array<float>").alias("v"), F.lit(time.time()).alias("created_at"))
-        self.replace(self.evicted(self.read().join(new.select("key", "provider", "model", "mode"), ["key", "provider", "model", "mode"], "left_anti").unionByName(new)))
+        both = self.read().join(new.select("key", "provider", "model", "mode"), ["key", "provider", "model", "mode"], "left_anti").unionByName(new)
+        over = both.count() > self.most
+        self.replace(self.evicted(both) if over else both)
+        return over
 
     def evicted(self, rows: DataFrame) -> DataFrame:
         """The newest most rows. Times are counted first, and only rows of the one time at the border are put in order."""

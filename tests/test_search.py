@@ -335,3 +335,12 @@ def test_streams(spark, tmp_path):
 
 def test_fusion_limits():
     assert fusion.candidate_k(5, False) == 50 and fusion.candidate_k(30, True) == 120 and fusion.candidate_k(100, True) == 200
+
+
+def test_a_cache_smaller_than_its_texts_loses_no_vector(spark, tmp_path):
+    x = spark.createDataFrame([(i, f"text {i % 9}") for i in range(20)], "id long, text string")
+    cache = tables.EmbeddingCache(spark, f"file://{tmp_path}/cache", 4)
+    want = {r.id: r.v for r in embedding.embed(x.select(F.col("id").alias("key"), "text"), "hashed-words").selectExpr("cast(key as long) as id", "v").collect()}
+    for rows in (x, x.where("id < 5"), x, x.where("id > 3")):
+        got = embedding.embed_cached(rows, cache, "hashed-words")
+        assert {r.id: r.v for r in got.collect()} == {r.id: want[r.id] for r in rows.collect()} and cache.read().count() == 4
