@@ -162,3 +162,16 @@ def test_graph_scores(spark):
 
 def test_summary_of_nothing(spark):
     assert list(records.summary(spark.createDataFrame([], "expected array<string>, ranked array<string>")).first()) == [0, 0.0, 0.0, 0.0]
+
+
+def test_query_expand_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    from rankloom.plans import registry
+
+    texts = ["of the cat", "edsh.\nthe cat and", "onrein.\nand  the", "and\tthe\n", "the", "x\nand", "", None, "a  und b"]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view benchmark as select * from '{tmp_path}/benchmark.parquet/*.parquet'")
+    got = {tuple(r) for r in registry.queries()["query_expand"](spark, str(tmp_path)).collect()}
+    assert got == set(con.execute(registry.oracle_sql()["query_expand"]).fetchall())
