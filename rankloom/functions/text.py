@@ -56,6 +56,12 @@ def preview(text: Column, limit: int = 200) -> Column:
     return F.when(F.char_length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("..."))).otherwise(text)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double rounded as SQL engines do: the double nearest to x times a power of ten, half away from zero. round() goes by the
+    decimal digits that x is shown with, and so takes 77.195, which lies below the half, up."""
+    return F.round(x.cast("double") * 10.0**digits, 0) / 10.0**digits
+
+
 def chunk_id(path: Column, start: Column, end: Column, kind: Column, name: Column | None = None) -> Column:
     base = F.concat(path, F.lit(":"), start.cast("string"), F.lit("-"), end.cast("string"), F.lit(":"), kind)
     return base if name is None else F.when(F.coalesce(name, F.lit("")) != "", F.concat(base, F.lit(":"), name)).otherwise(base)

@@ -230,7 +230,7 @@ def search(queries: DataFrame, index: Index, mode: str = "hybrid", k: int = 5, f
 
 def shown(results: DataFrame, digits: int = 2) -> DataFrame:
     """Rows as a caller sees them: file, lines, kind, score rounded to digits (similar rows: 3), name and snippet where there are."""
-    return results.select("query_id", "rank", F.col("path").alias("file"), F.concat(F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string")).alias("lines"), "kind", F.round("score", digits).alias("score"), "chunk_id", F.nullif("name", F.lit("")).alias("name"), F.nullif("snippet", F.lit("")).alias("snippet"))
+    return results.select("query_id", "rank", F.col("path").alias("file"), F.concat(F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string")).alias("lines"), "kind", X.rounded(F.col("score"), digits).alias("score"), "chunk_id", F.nullif("name", F.lit("")).alias("name"), F.nullif("snippet", F.lit("")).alias("snippet"))
 
 
 def with_context(results: DataFrame, index: Index, similar: int = 3, kept: int = 2) -> DataFrame:

@@ -175,3 +175,12 @@ def test_query_expand_equals_its_sql(spark, tmp_path):
     con.execute(f"create view benchmark as select * from '{tmp_path}/benchmark.parquet/*.parquet'")
     got = {tuple(r) for r in registry.queries()["query_expand"](spark, str(tmp_path)).collect()}
     assert got == set(con.execute(registry.oracle_sql()["query_expand"]).fetchall())
+
+
+def test_shown_scores_are_rounded_as_sql_does(spark):
+    import duckdb
+
+    xs = [77.195, 128.605, 1.005, 0.5, -77.195, 0.125, -0.125, 2.675, 1e6 + 0.005, None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double")
+    got = [r.y for r in df.select("i", T.rounded(F.col("x"), 2).alias("y")).orderBy("i").collect()]
+    assert got == [duckdb.execute("select round(?::double, 2)", [x]).fetchone()[0] for x in xs] and got[0] == 77.19
