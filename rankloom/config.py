@@ -92,6 +92,8 @@ class SearchConfig:
     stale_advisory: float = 0.25
     stale_compact: float = 0.5
     max_age_minutes: float = 5.0
+    #: Whether hybrid search reads what a query names outright (identifiers, paths), or takes every query by all its words.
+    signals: bool = True
     type_boosts: Mapping[str, float] = field(default_factory=dict)
 
     def weights(self, explicit: bool = False) -> tuple[float, float]:

@@ -211,13 +211,14 @@ def search(queries: DataFrame, index: Index, mode: str = "hybrid", k: int = 5, f
     cfg = config or SearchConfig()
     validated(k, mode, filters)
     q = prepared(queries)
+    q = q if cfg.signals else q.withColumn("sig", F.col("sig").withField("explicit", F.lit(False)))
     allowed = index.chunks.where(matches(index.chunks.columns, filters)).select("id") if any(v is not None for v in (filters or {}).values()) else None
     if mode == "semantic":
         c = semantic_candidates(index, q, k, allowed)
     elif mode == "keyword":
         c = keyword_candidates(index, lexical_phrases(queries, index.analyser, compact=False), k, cfg, allowed)
     else:
-        c = hybrid_candidates(index, q, k, cfg, lexical_phrases(queries, index.analyser, synonyms), allowed)
+        c = hybrid_candidates(index, q, k, cfg, lexical_phrases(queries, index.analyser, synonyms, cfg.signals), allowed)
         if graph is not None and cfg.ppr_alpha:
             p = graph.select("query_id", "path", F.col("score").alias("ppr"))
             c = c.join(p, ["query_id", "path"], "left").withColumn("score", F.col("score") * (1 + cfg.ppr_alpha * F.coalesce("ppr", F.lit(0.0)))).drop("ppr")

@@ -344,3 +344,22 @@ def test_a_cache_smaller_than_its_texts_loses_no_vector(spark, tmp_path):
     for rows in (x, x.where("id < 5"), x, x.where("id > 3")):
         got = embedding.embed_cached(rows, cache, "hashed-words")
         assert {r.id: r.v for r in got.collect()} == {r.id: want[r.id] for r in rows.collect()} and cache.read().count() == 4
+
+
+@pytest.mark.parametrize("name", ["search_hybrid"])
+def test_hybrid_queries_that_name_something_equal_their_sql(spark, tmp_path, name):
+    import duckdb
+
+    from rankloom.plans import registry
+
+    rng = random.Random(3)
+    words = "ss der die nicht enz heit und zu von".split()
+    docs = [(i, " ".join(rng.choices(words, k=rng.randint(3, 12))), ("en", "de", "fr")[i % 3], f"src{i % 4}") for i in range(220)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(220)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(0, "der die. SS nicht heit"), (1, "zu von und"), (2, "load_all der `enz`")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "benchmark"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got = {tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).collect()}
+    assert len(got) == 15 and got == set(con.execute(registry.oracle_sql()[name]).fetchall())
