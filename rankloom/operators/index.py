@@ -49,9 +49,9 @@ def lexical_parts(chunks: DataFrame, analyser: str = "porter") -> tuple[DataFram
 
 
 def in_memory(chunks: DataFrame, vectors: DataFrame | None, analyser: str = "porter") -> Index:
-    """An index that is computed as it is read: chunks as chunk_rows() gives them."""
+    """An index that is computed as it is read: chunks as chunk_rows() gives them. Its texts are scanned for what is asked."""
     postings, stats = lexical_parts(chunks, analyser)
-    return Index(chunks, postings, stats, vectors, analyser)
+    return Index(chunks, postings, stats, vectors, analyser, rows=lexical_rows)
 
 
 def _read(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,7 @@ One call is one lazy plan for all its queries. Filters come before the arms' top
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -32,7 +32,8 @@ EVIDENCE_TYPES = {"keyword": "lexical_match", "semantic": "semantic_match", "hyb
 @dataclass
 class Index:
     """What a search reads. chunks: id long, chunk_id, path, kind, name, parent, docstring, start_line, end_line, text, tags and any
-    others; postings and stats as lexical.build_postings() and corpus_stats() give them; vectors: id long, v array."""
+    others; postings and stats as lexical.build_postings() and corpus_stats() give them; vectors: id long, v array. rows: where
+    postings are not stored, what makes the lexical arm's rows of chunks, whose texts are then scanned."""
 
     chunks: DataFrame
     postings: DataFrame | None
@@ -40,6 +41,7 @@ class Index:
     vectors: DataFrame | None
     analyser: str = "porter"
     problems: list[str] = field(default_factory=list)
+    rows: Callable[[DataFrame], DataFrame] | None = None
 
 
 def analyse(name: str):
@@ -121,16 +123,22 @@ def vector_arm(index: Index, queries: DataFrame, k: int, allowed: DataFrame | No
     """(query_id, id, score, rank); no rows where the index has no vectors."""
     if index.vectors is None:
         return _none(queries)
-    v = index.vectors if allowed is None else index.vectors.join(allowed, "id", "left_semi")
+    v = index.vectors if allowed is None else index.vectors.join(allowed.select("id"), "id", "left_semi")
     return vector.top_k(queries.where("v is not null").select("query_id", "v"), v, k)
 
 
 def lexical_arm(index: Index, phrases: DataFrame, k: int, allowed: DataFrame | None, name_weight: float = 5.0) -> DataFrame:
-    """(query_id, id, score, rank) by BM25; no rows where the index has no postings. Statistics are those of all rows."""
+    """(query_id, id, score, rank) by BM25; no rows where the index has no postings. Statistics are those of all rows; allowed: the
+    chunks that may be found."""
     if index.postings is None or index.stats is None:
         return _none(phrases)
-    s = lexical.bm25_stored(index.postings, index.stats, phrases, [0.0, 1.0, 0.5, name_weight])
-    s = s if allowed is None else s.join(allowed, "id", "left_semi")
+    weights = [0.0, 1.0, 0.5, name_weight]
+    if index.rows is not None:
+        among = None if allowed is None else index.rows(allowed)
+        s = lexical.bm25_best(index.rows(index.chunks), phrases, weights, LEXICAL_COLUMNS, k, analyse(index.analyser), among=among)
+    else:
+        s = lexical.bm25_stored(index.postings, index.stats, phrases, weights)
+        s = s if allowed is None else s.join(allowed.select("id"), "id", "left_semi")
     return fusion.top(s.withColumn("score", F.round("score", 6)), k, ["query_id"], F.desc("score"), "id")
 
 
@@ -158,14 +166,14 @@ def hybrid_candidates(index: Index, q: DataFrame, k: int, cfg: SearchConfig, phr
         weight = F.when(F.col("sig.explicit"), flipped[n]).otherwise(plain[n])
         one = one.select("query_id", "id", "score", "rank", "sig", weight.alias("weight"), F.lit(n).alias("arm"))
         arms = one if arms is None else arms.unionByName(one)
-    seen = arms.join(chunks.select("id", "path", "name", "parent", "text"), "id")
+    seen = F.broadcast(arms).join(chunks.select("id", "path", "name", "parent", "text"), "id")  # at most 400 rows a query of the batch
     seen = seen.withColumn("signal", lexical.signal_boost(F.col("sig"), F.col("path"), F.col("name"), F.col("parent"), F.col("text")))
     seen = seen.select("query_id", "id", "arm", "weight", "rank", "signal", F.when(F.col("sig.explicit"), -F.abs("score") * F.col("signal")).otherwise(F.col("rank").cast("double")).alias("by"), F.when(F.col("sig.explicit"), F.col("id")).otherwise(F.lit(0)).alias("tie"))
     seen = fusion.ranked(seen.drop("rank"), ["query_id", "arm"], "by", "tie")
     fused = seen.groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") / (cfg.rrf_k + F.col("rank"))), 12).alias("rrf"), F.min(F.struct("arm", "rank")).alias("first_arm"), F.first("signal").alias("signal"))
     order = [F.desc("rrf"), F.col("first_arm.arm"), F.col("first_arm.rank")]
     best = fusion.top(fused, cfg.over_fetch * k, ["query_id"], *order).withColumnRenamed("rank", "fused_rank")
-    c = best.join(chunks, "id").join(F.broadcast(own), "query_id")
+    c = F.broadcast(best).join(chunks, "id").join(F.broadcast(own), "query_id")
     score = F.col("rrf") * _by_type(F.col("kind"), cfg.boosts())
     score = score * _beyond_one(X.name_boost(F.col("name"), F.col("asked"), F.col("tokens")), 2.0) * _beyond_one(X.path_boost(F.col("path"), F.col("tokens")), 3.0) * F.col("signal")
     if cfg.content_mode == "code":
@@ -188,7 +196,7 @@ def semantic_score(tokens: Column, asked: Column, chunk: Mapping[str, Column], s
 def semantic_candidates(index: Index, q: DataFrame, k: int, allowed: DataFrame | None) -> DataFrame:
     """The min(10 k, 200) nearest chunks of each query with their semantic score."""
     arm = vector_arm(index, q, min(10 * k, 200), allowed).withColumnRenamed("score", "similarity").withColumnRenamed("rank", "fused_rank")
-    c = arm.join(index.chunks.select(*_FIELDS), "id").join(F.broadcast(q.select("query_id", F.col("text").alias("asked"), "tokens")), "query_id")
+    c = F.broadcast(arm).join(index.chunks.select(*_FIELDS), "id").join(F.broadcast(q.select("query_id", F.col("text").alias("asked"), "tokens")), "query_id")
     chunk = {n: F.col(n) for n in ("kind", "tags", "docstring", "text", "name", "path")}
     score = semantic_score(F.col("tokens"), F.col("asked"), chunk, F.col("similarity"))
     return c.select("query_id", *_FIELDS, "fused_rank", F.round(score, 9).alias("score"))
@@ -196,7 +204,7 @@ def semantic_candidates(index: Index, q: DataFrame, k: int, allowed: DataFrame |
 
 def keyword_candidates(index: Index, phrases: DataFrame, k: int, cfg: SearchConfig, allowed: DataFrame | None) -> DataFrame:
     arm = lexical_arm(index, phrases, k, allowed, cfg.name_weight).withColumnRenamed("rank", "fused_rank")
-    return arm.select("query_id", "id", F.abs("score").alias("score"), "fused_rank").join(index.chunks.select(*_FIELDS), "id").select("query_id", *_FIELDS, "fused_rank", "score")
+    return F.broadcast(arm.select("query_id", "id", F.abs("score").alias("score"), "fused_rank")).join(index.chunks.select(*_FIELDS), "id").select("query_id", *_FIELDS, "fused_rank", "score")
 
 
 def search(queries: DataFrame, index: Index, mode: str = "hybrid", k: int = 5, filters: Mapping | None = None, config: SearchConfig | None = None, synonyms: list[tuple[str, list[str]]] | None = None, graph: DataFrame | None = None, **rerank_options) -> DataFrame:
@@ -212,7 +220,7 @@ def search(queries: DataFrame, index: Index, mode: str = "hybrid", k: int = 5, f
     validated(k, mode, filters)
     q = prepared(queries)
     q = q if cfg.signals else q.withColumn("sig", F.col("sig").withField("explicit", F.lit(False)))
-    allowed = index.chunks.where(matches(index.chunks.columns, filters)).select("id") if any(v is not None for v in (filters or {}).values()) else None
+    allowed = index.chunks.where(matches(index.chunks.columns, filters)) if any(v is not None for v in (filters or {}).values()) else None
     if mode == "semantic":
         c = semantic_candidates(index, q, k, allowed)
     elif mode == "keyword":

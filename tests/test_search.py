@@ -363,3 +363,39 @@ def test_hybrid_queries_that_name_something_equal_their_sql(spark, tmp_path, nam
         con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
     got = {tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).collect()}
     assert len(got) == 15 and got == set(con.execute(registry.oracle_sql()[name]).fetchall())
+
+
+@pytest.mark.parametrize("sums", [1 << 20, 7])
+def test_scanned_texts_score_as_the_plain_way(spark, monkeypatch, sums):
+    monkeypatch.setattr(lexical, "SUMS", sums)
+    rng = random.Random(5)
+    words = "of the and x in a b".split()
+    text = lambda n: None if rng.random() < 0.1 else " ".join(rng.choices(words, k=rng.randint(0, n)))
+    rows = spark.createDataFrame([(i, text(9), text(4)) for i in range(200)], "id long, a string, b string").repartition(3)
+    asked = [(1, 0, ["of"]), (1, 1, ["of", "the"]), (1, 2, ["of"]), (7, 0, ["a", "b", "a"]), (7, 1, ["none"]), (9, 0, ["none"]), (8, 0, ["x"]), (8, 1, ["in"])]
+    phrases = spark.createDataFrame(asked, "query_id long, n int, words array<string>")
+    for k, among in ((3, rows), (500, rows), (4, rows.where("id % 3 = 0"))):
+        plain = lexical.bm25(rows, phrases, [0.0, 2.0], ["a", "b"]).join(among.select("id"), "id", "left_semi").withColumn("score", F.round("score", 6))
+        want = fusion.top(plain, k, ["query_id"], F.desc("score"), "id").select("query_id", "rank", "id", "score").collect()
+        best = lexical.bm25_best(rows, phrases, [0.0, 2.0], ["a", "b"], k, among=None if among is rows else among)
+        assert best.count() <= 3 * 3 * k
+        got = fusion.top(best, k, ["query_id"], F.desc("score"), "id").select("query_id", "rank", "id", "score").collect()
+        assert set(map(tuple, got)) == set(map(tuple, want)) and len(got) == len(want) > 8
+    assert lexical.bm25_best(rows, phrases.where("n > 5"), [0.0, 2.0], ["a", "b"], 3).count() == 0
+
+
+def test_searching_texts_moves_neither_words_nor_texts(spark):
+    ix = small_index(spark)
+    q = spark.createDataFrame([(1, "users load", [1.0, 0.0])], "query_id long, text string, v array<float>")
+    plan = search.search(q, ix, "keyword", 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan and "Generate posexplode" not in plan
+
+
+def test_folding_drops_every_mark():
+    import re
+    import sys
+    import unicodedata
+
+    every = "".join(map(chr, [*range(1, 0xD800), *range(0xE000, sys.maxunicode + 1, 7)]))
+    bare = "".join(c for c in unicodedata.normalize("NFD", every) if not unicodedata.combining(c))
+    assert lexical.folded(every) == re.findall(r"[^\W_]+", bare.lower()) and lexical.folded("Änë plain") == ["ane", "plain"]
