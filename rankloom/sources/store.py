@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rankloom.operators import lexical
 from rankloom.operators.search import Index
 from rankloom.sources import fs
 
@@ -129,7 +130,7 @@ def publish(spark: SparkSession, root: str, parts: Mapping[str, DataFrame], forc
     try:
         for name in PARTS:
             df = parts[name]
-            df = df.sort("term", "id", "col") if name == "postings" else df  # row groups of few terms: a search reads its own
+            df = lexical.by_term(df) if name == "postings" else df  # row groups of few terms: a search reads its own
             df.write.parquet(f"{root}/{gen}/{name}")
         have = {n: spark.read.parquet(f"{root}/{gen}/{n}") for n in PARTS}
         n, ids = have["chunks"].agg(F.count("*"), F.countDistinct("id")).first()

@@ -399,3 +399,24 @@ def test_folding_drops_every_mark():
     every = "".join(map(chr, [*range(1, 0xD800), *range(0xE000, sys.maxunicode + 1, 7)]))
     bare = "".join(c for c in unicodedata.normalize("NFD", every) if not unicodedata.combining(c))
     assert lexical.folded(every) == re.findall(r"[^\W_]+", bare.lower()) and lexical.folded("Änë plain") == ["ane", "plain"]
+
+
+@pytest.mark.parametrize("pack", [1 << 20, 16])
+def test_postings_are_those_of_the_words_and_lie_by_term(spark, monkeypatch, pack):
+    monkeypatch.setattr(lexical, "PACK", pack)
+    rng = random.Random(9)
+    rows = [(i * 7 - 300, *(None if rng.random() < 0.1 else " ".join(rng.choices(["of", "the", "ä", "x", "in"], k=rng.randint(0, 9))) for _ in "ab")) for i in range(90)]
+    got = lexical.build_postings(spark.createDataFrame(rows, "id long, a string, b string").repartition(3), ["a", "b"])
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString() and "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for i, *texts in rows:
+        for col, words in enumerate((t or "").split() for t in texts):
+            for pos, w in enumerate(words):
+                want.setdefault((w, i, col), []).append(pos)
+    size = {i: sum(len((t or "").split()) for t in texts) for i, *texts in rows}
+    laid = lexical.by_term(got)
+    for df in (got, laid):
+        have = df.collect()
+        assert {(r.term, r.id, r.col): r["at"] for r in have} == want and len(have) == len(want) and all(r.d == size[r.id] for r in have)
+    parts = laid.select(F.spark_partition_id().alias("p"), "term").collect()
+    assert all(a.term <= b.term for a, b in zip(parts, parts[1:]) if a.p == b.p)
