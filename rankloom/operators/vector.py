@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-#: Query vectors are held by every task; more than this many bytes of them are searched in turns.
-QUERY_BYTES = 64 << 20
+#: Query vectors and the rows nearest to them are held by every task; more than this many bytes or rows are searched in turns.
+QUERY_BYTES, HELD = 64 << 20, 1 << 18
 #: Scores that a task holds at a time.
-TILE = 4 << 20
+TILE = 1 << 19
 
 
 def unit(v: Column) -> Column:
@@ -47,7 +47,8 @@ def _best(q: np.ndarray, order: np.ndarray, ids: np.ndarray, k: int) -> np.ndarr
 def _scan(queries: DataFrame, rows: DataFrame, keep: int, digits: int, skip_self: bool, by_bits: bool) -> DataFrame:
     """(query_id, id, bits, score) of the keep rows nearest to each query in each task, by sign bits or by score.
 
-    Queries are broadcast, QUERY_BYTES of them at a time; a task scores tiles of TILE numbers and holds keep rows a query.
+    Queries are broadcast, at most QUERY_BYTES of them at a time and so many that their rows are HELD; a task scores tiles of TILE
+    numbers and holds keep rows a query.
     """
     q = queries.select(F.col("query_id").cast("long"), F.col("v").cast("array<double>")).where("v is not null").toArrow()
     qid = np.array(q.column(0), np.int64)
@@ -56,7 +57,7 @@ def _scan(queries: DataFrame, rows: DataFrame, keep: int, digits: int, skip_self
     if not len(qid):
         return spark.createDataFrame([], schema)
     qv = _unit(np.array(q.column(1).to_pylist(), np.float64))
-    step = max(1, QUERY_BYTES // (8 * qv.shape[1]))
+    step = max(1, min(QUERY_BYTES // (8 * qv.shape[1]), HELD // keep))
 
     def part(lo: int) -> DataFrame:
         shared = spark.sparkContext.broadcast((qid[lo : lo + step], qv[lo : lo + step]))
@@ -65,12 +66,18 @@ def _scan(queries: DataFrame, rows: DataFrame, keep: int, digits: int, skip_self
             ids, vs = shared.value
             codes = _codes(vs)
             held = [np.empty(0, t) for t in (np.int64, np.int64, np.int32, np.float64)]
+
+            def best(found: list[list[np.ndarray]]) -> list[np.ndarray]:
+                both = [np.concatenate(c) for c in zip(*found, strict=True)]
+                kept = _best(both[0], both[2].astype(np.float64) if by_bits else -both[3], both[1], keep)
+                return [c[kept] for c in both]
+
             for b in batches:
                 if not b.num_rows:
                     continue
                 rid = np.array(b.column(0), np.int64)
                 x = _unit(np.array(b.column(1).flatten(), np.float64).reshape(len(rid), -1))
-                own, found = _codes(x), [held]
+                own, found, n = _codes(x), [held], 0
                 tile = max(1, TILE // len(rid))
                 for at in range(0, len(ids), tile):
                     s = np.round(vs[at : at + tile] @ x.T, digits) + 0.0
@@ -83,9 +90,10 @@ def _scan(queries: DataFrame, rows: DataFrame, keep: int, digits: int, skip_self
                         near &= order <= np.partition(order, keep - 1, axis=1)[:, keep - 1 : keep]
                     i, j = np.nonzero(near)
                     found.append([i + at, rid[j], bits[i, j], s[i, j]])
-                held = [np.concatenate(c) for c in zip(*found, strict=True)]
-                kept = _best(held[0], held[2].astype(np.float64) if by_bits else -held[3], held[1], keep)
-                held = [c[kept] for c in held]
+                    n += len(i)
+                    if n > HELD:  # rows of equal bits or scores come beyond keep
+                        found, n = [best(found)], 0
+                held = best(found)
             yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]]), pa.array(held[1]), pa.array(held[2].astype(np.int32)), pa.array(held[3])], names=["query_id", "id", "bits", "score"])
 
         return rows.select(F.col("id").cast("long"), F.col("v").cast("array<double>")).where("v is not null").mapInArrow(run, schema)

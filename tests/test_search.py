@@ -420,3 +420,15 @@ def test_postings_are_those_of_the_words_and_lie_by_term(spark, monkeypatch, pac
         assert {(r.term, r.id, r.col): r["at"] for r in have} == want and len(have) == len(want) and all(r.d == size[r.id] for r in have)
     parts = laid.select(F.spark_partition_id().alias("p"), "term").collect()
     assert all(a.term <= b.term for a, b in zip(parts, parts[1:]) if a.p == b.p)
+
+
+def test_vectors_are_searched_in_turns_of_few_rows(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.choice([-1.0, 1.0], (120, 5)))], "id long, v array<double>").repartition(2)
+    asked = rows.where("id < 9").select(F.col("id").alias("query_id"), "v")
+    want = [vector.top_k(asked, rows, 4, skip_self=True).collect(), vector.binary_top_k(asked, rows, 2, 3).collect()]
+    monkeypatch.setattr(vector, "HELD", 8)
+    monkeypatch.setattr(vector, "TILE", 300)
+    found = vector.top_k(asked, rows, 4, skip_self=True)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 5
+    assert set(want[0]) == set(found.collect()) and set(want[1]) == set(vector.binary_top_k(asked, rows, 2, 3).collect())
