@@ -684,3 +684,16 @@ def test_pipeline_tells_rows_without_id_apart(spark):
 
 def test_sha1_and_base32():
     assert warc_salvage.base32_sha1(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ" and hashlib.sha1(b"").hexdigest().startswith("da39")
+
+
+def test_near_vectors_go_in_rounds_of_cells(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((60, 12)).astype(np.float32)
+    v = np.concatenate([base, base + 0.1 * rng.standard_normal(base.shape).astype(np.float32)])
+    df = spark.createDataFrame([(i, [float(x) for x in e], i % 2) for i, e in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    want = {tuple(r) for r in multi_index.near_vectors(df.withColumn("embedding", F.col("embedding").cast("array<double>"))).collect()}
+    monkeypatch.setattr(multi_index, "SENT", 1)
+    kept = []
+    monkeypatch.setattr(multi_index, "staged", lambda df, name, real=multi_index.staged: kept.append((name, df.schema.simpleString())) or real(df, name))
+    assert {tuple(r) for r in multi_index.near_vectors(df).collect()} == want and sum(r[1] for r in want) > 40
+    assert [n for n, _ in kept].count("links") > 1 and all("array<double>" not in s for _, s in kept)
