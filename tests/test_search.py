@@ -432,3 +432,13 @@ def test_vectors_are_searched_in_turns_of_few_rows(spark, monkeypatch):
     found = vector.top_k(asked, rows, 4, skip_self=True)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 5
     assert set(want[0]) == set(found.collect()) and set(want[1]) == set(vector.binary_top_k(asked, rows, 2, 3).collect())
+
+
+def test_stems_are_made_where_they_are_counted(spark):
+    texts = ["The cats were running", "Änderungen running", None, "cat", "dogs and runs and cats"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, a string")
+    phrases = spark.createDataFrame([(1, 0, ["cat"]), (1, 1, ["run"]), (2, 0, ["anderungen"]), (2, 1, ["were", "run"])], "query_id long, n int, words array<string>")
+    want = lexical.bm25(rows, phrases, [1.0], ["a"], lexical.porter_tokens).withColumn("score", F.round("score", 6)).collect()
+    best = lexical.bm25_best(rows, phrases, [1.0], ["a"], 5, lexical.porter_tokens)
+    assert "ArrowEvalPython" not in best._jdf.queryExecution().executedPlan().toString()
+    assert {(r.query_id, r.id, r.score) for r in best.collect()} == {(r.query_id, r.id, r.score) for r in want} and len(want) == 6
